@@ -1,0 +1,2 @@
+"""No operator here: every input of this engine is a complete file or table, and every layer a full
+overwrite. Bronze is a plain projection, so it also accepts a streaming DataFrame as it is."""
