@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ebbmark.functions.measures import MONEY, money_sum, ratio
+from ebbmark.functions.measures import money_parts, money_sum, money_total, ratio
 from ebbmark.functions.names import col
 from ebbmark.operators.merge import merge_left
 from ebbmark.operators.signal import join_keys
@@ -25,12 +25,12 @@ def _keyed(df: DataFrame, *order: str) -> DataFrame:
 def month_grain(signal: DataFrame) -> DataFrame:
     """All sums both Gold tables need, by category and month: one pass over Signal.
 
-    The sums are exact decimals, so adding months up gives what a direct sum would.
+    Money is kept as whole-number sums, so adding months up gives exactly what a direct sum would.
     """
     return signal.groupBy("category", "order_month").agg(
         F.count("order_id").alias("orders"),
         F.sum("is_returned").alias("returns"),
-        *[F.sum(F.col(c).cast(MONEY)).alias(c) for c in ("order_amount", "revenue_erosion", "net_revenue")],
+        *[part for c in ("order_amount", "revenue_erosion", "net_revenue") for part in money_parts(F.col(c), c)],
         F.sum("days_to_return").alias("days"),
         F.count("days_to_return").alias("days_known"),
     )
@@ -84,12 +84,15 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0))
 
+    def money(name: str) -> Column:
+        return money_total(F.sum(f"{name}_units"), F.sum(f"{name}_parts"))
+
     scorecard = months.groupBy("category").agg(
         total("orders").alias("total_orders"),
         total("returns").alias("total_returns"),
-        total("order_amount").cast("double").alias("gross_revenue"),
-        total("revenue_erosion").cast("double").alias("total_refunds"),
-        total("net_revenue").cast("double").alias("net_revenue"),
+        money("order_amount").alias("gross_revenue"),
+        money("revenue_erosion").alias("total_refunds"),
+        money("net_revenue").alias("net_revenue"),
         ratio(F.sum("days"), F.sum("days_known")).alias("avg_days_to_return"),
     )
     trend = months.select(
@@ -97,7 +100,7 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
         "order_month",
         "orders",
         F.coalesce("returns", F.lit(0)).alias("returns"),
-        F.coalesce(F.col("net_revenue").cast("double"), F.lit(0.0)).alias("net_revenue"),
+        money_total(F.col("net_revenue_units"), F.col("net_revenue_parts")).alias("net_revenue"),
     )
     return {"category_return_performance": _scorecard(scorecard), "monthly_category_trend": _trend(trend)}
 

@@ -160,7 +160,7 @@ def _one_return_per_order(returns: DataFrame, key: str) -> DataFrame:
     date = find_column(returns.columns, "return_date")
     others = [c for c in returns.columns if c not in (key, refund)]
     first = F.min(F.struct(*[col(c) for c in sorted(others, key=lambda c: c != date)])).alias("_first")
-    sums = [F.sum(to_number(col(refund), dtype_of(returns, refund)).cast(measures.MONEY)).cast("double").alias(refund)] if refund else []
+    sums = [measures.money_sum(to_number(col(refund), dtype_of(returns, refund))).alias(refund)] if refund else []
     combined = returns.groupBy(col(key)).agg(*([first] if others else []), *sums)
     return combined.select(
         col(key), *[F.col("_first").getField(c).alias(c) for c in others], *([col(refund)] if refund else [])
