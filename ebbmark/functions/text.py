@@ -18,9 +18,12 @@ def strip(text: Column) -> Column:
 
 def title(text: Column) -> Column:
     """Every run of letters starts upper case: ``men's non-fiction`` -> ``Men'S Non-Fiction``."""
-    runs = F.regexp_extract_all(text, F.lit(_LETTER_RUNS), F.lit(1))
-    cased = F.transform(runs, lambda r: F.concat(F.upper(F.substr(r, F.lit(1), F.lit(1))), F.lower(F.substr(r, F.lit(2)))))
-    return F.array_join(cased, "")
+
+    def cased(run: Column) -> Column:
+        first = F.upper(F.substr(run, F.lit(1), F.lit(1)))  # two letters for a sharp s
+        return F.concat(F.left(first, F.lit(1)), F.lower(F.concat(F.substr(first, F.lit(2)), F.substr(run, F.lit(2)))))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_LETTER_RUNS), F.lit(1)), cased), "")
 
 
 def normalize_text(text: Column, hint: str | None) -> Column:

@@ -493,7 +493,7 @@ def dates_standardised(spark, folder):
 
 
 @query(r"""SELECT doc_id, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS lowered, upper(source || ' ' || lang) AS uppered,
-  array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|\P{L}+'), lambda x: upper(x[1]) || lower(x[2:])), '') AS titled,
+  array_to_string(list_transform(regexp_extract_all(text, '\p{L}+|\P{L}+'), lambda x: CASE WHEN x[1] = 'ß' THEN 'Ss' ELSE upper(x[1]) END || lower(x[2:])), '') AS titled,
   '|' || source || '|' AS stripped FROM documents""")
 def text_normalised(spark, folder):
     text = F.col("text")
