@@ -160,7 +160,7 @@ def _locate(cells: list, rank: int, even: bool):
         rank -= cell.n
     if cell.lo == cell.hi:
         upper = cell.lo if not even or rank + 1 < cell.n else cells[i + 1].lo
-        return (cell.lo + upper) / 2
+        return cell.lo if upper == cell.lo else (cell.lo + upper) / 2
     if even and rank + 1 == cell.n:  # the two middle rows lie in different buckets
         return (cell.hi + cells[i + 1].lo) / 2
     return cell.lo, cell.hi, rank
