@@ -27,7 +27,7 @@ TIME_WORDS = r"\b(date(time)?(64)?s?|timestamp|time)\b"
 
 # A plain decimal number; keeps out Java's "1d", "0x1p3", "NaN" and "Infinity".
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_MAX_BIGINT = 9.2e18
+_LARGEST = 1.7976931348623157e308
 
 
 def blank_null_tokens(text: Column) -> Column:
@@ -36,7 +36,8 @@ def blank_null_tokens(text: Column) -> Column:
 
 def finite(value: Column) -> Column:
     """A double, or NULL where it is NaN or infinite."""
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    # Two mentions in the condition let Spark compute a costly value once for all mentions.
+    return F.when(value.between(-_LARGEST, _LARGEST), value)
 
 
 def to_number(value: Column, dtype: T.DataType) -> Column:
@@ -54,10 +55,10 @@ def to_integer(value: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.IntegralType, T.BooleanType)):
         return value.cast("bigint")
     number = to_number(value, dtype)
-    whole = F.when((number == F.floor(number)) & (F.abs(number) < _MAX_BIGINT), number).try_cast("bigint")
-    if isinstance(dtype, T.StringType):
-        return F.coalesce(value.try_cast("bigint"), whole)
-    return whole
+    whole = number.try_cast("bigint")
+    # A text is read again as bigint, as a double does not hold every one.
+    exact = F.coalesce(value.try_cast("bigint"), whole) if isinstance(dtype, T.StringType) else whole
+    return F.when(whole == number, exact)
 
 
 def to_timestamp(value: Column, dtype: T.DataType) -> Column:

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The date formats read, in the order tried. Month-first wins over day-first.
+# The date formats read, in the order tried (month-first before day-first), by the
+# shape of text they fit. The shape is tested first because a format that does not fit is costly.
 DATE_PATTERNS = (
-    "M/d/yyyy[ H:mm[:ss]]",
-    "d/M/yyyy[ H:mm[:ss]]",
-    "yyyy/M/d[ H:mm[:ss]]",
-    "M-d-yyyy[ H:mm[:ss]]",
-    "d-M-yyyy[ H:mm[:ss]]",
-    "MMM d[,] yyyy",
-    "MMMM d[,] yyyy",
-    "d MMM yyyy",
-    "d MMMM yyyy",
-    "yyyyMMdd",
+    (r"^\d{1,2}/\d{1,2}/\d{4}", ("M/d/yyyy[ H:mm[:ss]]", "d/M/yyyy[ H:mm[:ss]]")),
+    (r"^\d{1,2}-\d{1,2}-\d{4}", ("M-d-yyyy[ H:mm[:ss]]", "d-M-yyyy[ H:mm[:ss]]")),
+    (r"^\d{4}/\d", ("yyyy/M/d[ H:mm[:ss]]",)),
+    (r"^\d{8}$", ("yyyyMMdd",)),
+    (r"^[A-Za-z]{3} ", ("MMM d[,] yyyy",)),
+    (r"^[A-Za-z]{4,9} ", ("MMMM d[,] yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{3} ", ("d MMM yyyy",)),
+    (r"^\d{1,2} [A-Za-z]{4,9} ", ("d MMMM yyyy",)),
 )
-_ISO_START = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+_ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -31,8 +30,11 @@ def parse_timestamp(text: Column) -> Column:
     """Read each value by the first format that fits; a value no format fits is NULL."""
     trimmed = F.trim(text)
     # The plain cast also reads a bare time as today's; only ISO dates may reach it.
-    iso = F.when(text.rlike(_ISO_START), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(trimmed, F.lit(p)) for p in DATE_PATTERNS])
+    attempts = [F.when(text.rlike(_ISO_SHAPE), text.try_cast("timestamp"))]
+    for shape, patterns in DATE_PATTERNS:
+        parsed = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(p)) for p in patterns])
+        attempts.append(F.when(trimmed.rlike(shape), parsed))
+    return F.coalesce(*attempts)
 
 
 def standard_date(timestamp: Column) -> Column:

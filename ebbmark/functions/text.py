@@ -5,25 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OUTER_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
-_LETTER_RUNS = r"(\p{L}+|\P{L}+)"
+# Fixed value: the characters that count as white space.
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+_WORD_GAP = "\ufdd0\ufdd1 "  # two code points that no text may hold
 # Fixed value: a fenced block, with or without the word json.
 _FENCE = r"(?s)```(?:json)?\s*(.*?)```"
 
 
 def strip(text: Column) -> Column:
-    """Remove all outer white space; ``trim`` would remove blanks only."""
-    return F.regexp_replace(text, _OUTER_SPACE, "")
+    """Remove all outer white space; a plain ``trim`` would remove blanks only."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def title(text: Column) -> Column:
-    """Every run of letters starts upper case: ``men's non-fiction`` -> ``Men'S Non-Fiction``."""
+    """Every run of letters starts upper case: ``men's non-fiction`` -> ``Men'S Non-Fiction``.
 
-    def cased(run: Column) -> Column:
-        first = F.upper(F.substr(run, F.lit(1), F.lit(1)))  # two letters for a sharp s
-        return F.concat(F.left(first, F.lit(1)), F.lower(F.concat(F.substr(first, F.lit(2)), F.substr(run, F.lit(2)))))
-
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_LETTER_RUNS), F.lit(1)), cased), "")
+    ``initcap`` starts words after blanks only, so a blank is put before each other run start and
+    taken out again.
+    """
+    gapped = F.regexp_replace(text, f"([^{_CASED} ])(?=[{_CASED}])", "$1" + _WORD_GAP)
+    return F.replace(F.initcap(gapped), F.lit(_WORD_GAP), F.lit(""))
 
 
 def normalize_text(text: Column, hint: str | None) -> Column:
@@ -45,6 +50,11 @@ def content_text(blocks: Column) -> Column:
     return F.array_join(F.transform(kept, lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _one_json_value(text: Column) -> Column:
     """``text`` as a variant if it is exactly one JSON value, else NULL.
 
@@ -64,17 +74,20 @@ def _widest(text: Column, opening: str, closing: str) -> Column:
 
 
 def extract_json(content: Column) -> Column:
-    """``struct<json, method>``: the JSON a free text holds and where it was found, or NULL."""
+    """``struct<json, method>``: the JSON a free text holds and where it was found, or NULL.
+
+    A place is looked at only if those before it held no JSON.
+    """
     text = strip(content)
-    fenced = F.when(text.rlike(_FENCE), strip(F.regexp_extract(text, _FENCE, 1)))
     places = [
         ("whole", text),
-        ("fence", fenced),
+        ("fence", strip(F.regexp_extract(text, _FENCE, 1))),
         ("array", _widest(text, "[", "]")),
         ("object", _widest(text, "{", "}")),
     ]
-    tries = []
-    for method, candidate in places:
-        value = F.to_json(_one_json_value(candidate))
-        tries.append(F.when(value.isNotNull(), F.struct(value.alias("json"), F.lit(method).alias("method"))))
-    return F.coalesce(*tries)
+
+    def attempt(method: str, candidate: Column) -> Column:
+        json = _let(candidate, lambda c: F.to_json(_one_json_value(c)))
+        return _let(json, lambda j: F.when(j.isNotNull(), F.struct(j.alias("json"), F.lit(method).alias("method"))))
+
+    return F.coalesce(*[attempt(method, candidate) for method, candidate in places])

@@ -60,16 +60,16 @@ def surrogate_key(df: DataFrame, key: str, order_by: list[str], total_order: boo
     order = [F.asc_nulls_last(col(c)) for c in [*order_by, *tie]]
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*[col(c) for c in names])
     rows = stage(ranged, "keyed").select(
-        "*",
-        F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint").alias("_part"),
-        F.col("_metadata.row_index").alias("_at"),
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")
     )
-    # One row per written file; the scan reads no data column for it.
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.join(F.broadcast(starts), "_part")
-    return numbered.select((F.col("_start") + F.col("_at") + 1).cast("bigint").alias(key), *[col(c) for c in names])
+    # One row per written file; the scan reads no data column for it. File names carry the number
+    # of the task and, where a task wrote several files, their count.
+    sizes = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
+    number = [F.regexp_extract("_file", pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
+    before = W.orderBy(*number).rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.join(F.broadcast(starts), "_file")
+    return numbered.select((F.col("_start") + F.col("_row") + 1).cast("bigint").alias(key), *[col(c) for c in names])
 
 
 # ---------------------------------------------------------------- NULL filling

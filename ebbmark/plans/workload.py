@@ -613,6 +613,26 @@ def landing_to_gold_trend_written(spark, folder):
     return _round_trend(golds["monthly_category_trend"])
 
 
+_COUNTED = "SELECT '{layer}' AS layer, '{table}' AS table_name, count(*) AS rows FROM {source}"
+
+
+@query(f"WITH {_TREND}, c AS (SELECT DISTINCT category FROM s) " + " UNION ALL ".join(
+    _COUNTED.format(layer=layer, table=table, source=source)
+    for layer, table, source in (
+        ("bronze", "orders", "o"), ("bronze", "returns", "r"), ("bronze", "products", "p"),
+        ("silver", "orders", "(SELECT DISTINCT * FROM o)"), ("silver", "returns", "(SELECT DISTINCT * FROM r)"), ("silver", "products", "p"),
+        ("signal", "order_line_signals", "s"), ("gold", "category_return_performance", "c"), ("gold", "monthly_category_trend", "t"),
+    )
+))
+def layer_metrics(spark, folder):
+    """Rows per written table, from the run log."""
+    out = scratch_path(spark, "layers")
+    landing_to_gold(spark, starmap.views(spark, folder), _bronze_rules(), _silver_rules(), out=out, run_id="run-7")
+    written = runlog.read_log(spark, f"{out}/log", "run-7").where("action = 'table_written'")
+    details = F.col("details")
+    return written.select(F.col("agent").alias("layer"), details["table"].alias("table_name"), details["rows"].cast("bigint").alias("rows"))
+
+
 # ---------------------------------------------------------------- joins
 
 @query("""SELECT c.c_custkey, c.c_name, c.region, n.n_name, n.region AS region_nation FROM
@@ -758,6 +778,14 @@ def report_at_risk(spark, folder):
     return rounded(sqlapi.report(spark, golds)["at_risk"], projected_revenue_at_risk=2)
 
 
+@query(f"WITH {_SCORECARD} SELECT 'Orders' AS title, 'bar' AS chart_type, category AS x, CAST(total_orders AS DOUBLE) AS y, 'ok' AS status FROM c")
+def question_answer(spark, folder):
+    """The chart of a follow-up question."""
+    golds = gold.gold(_signals(spark, folder))
+    sql = "SELECT category, total_orders FROM category_return_performance ORDER BY total_orders DESC"
+    return sqlapi.answer(spark, golds, sql, {"sql": sql, "x": "category", "y": "total_orders", "title": "Orders"})["chart"]
+
+
 # ---------------------------------------------------------------- matching, recall, free text
 
 @query()

@@ -109,6 +109,14 @@ def test_surrogate_key_spreads_a_hot_value(spark):
     assert out.agg(F.countDistinct("pk").alias("n")).first().n == 20000
 
 
+def test_surrogate_key_with_several_files_per_task(spark):
+    df = spark.range(1000).select((1000 - F.col("id")).alias("x")).repartition(4)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "7")
+    out = cleanse.surrogate_key(df, "pk", ["x"], total_order=True)
+    spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert out.where("pk != x").count() == 0 and out.count() == 1000
+
+
 def test_drop_nulls_ignores_absent_columns(spark):
     df = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "a int, b int")
     assert rows(cleanse.drop_nulls(df, ["a", "zzz"])) == [(1, None), (3, 4)]

@@ -48,7 +48,7 @@ def test_surrogate_key_sorts_in_ranges(spark):
     text = plan(cleanse.surrogate_key(lines, "pk", lines.columns, total_order=True))
     window = text[text.index("Window"):]
     # the only single-task step works on one row per written file
-    assert "HashAggregate(keys=[_part" in window and "l_orderkey" not in window
+    assert "HashAggregate(keys=[_file" in window and "l_orderkey" not in window
 
 
 def test_keep_first_uses_no_window(spark):
