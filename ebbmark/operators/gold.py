@@ -8,16 +8,21 @@ from pyspark.sql import Window as W
 
 from ebbmark.functions.measures import money_parts, money_sum, money_total, ratio
 from ebbmark.functions.names import col
+from ebbmark.operators.cleanse import surrogate_key
 from ebbmark.operators.merge import merge_left
 from ebbmark.operators.signal import join_keys
 from ebbmark.session import stage
 
 # Fixed value: how many categories a "worst" list holds.
 TOP_K = 3
+# Above this many rows a Gold table is numbered by a distributed sort.
+ONE_TASK_ROWS = 1_000_000
 
 
-def _keyed(df: DataFrame, *order: str) -> DataFrame:
-    """Number the rows of an aggregated table; it has one row per category (and month)."""
+def _keyed(df: DataFrame, order: list[str], large: bool = False) -> DataFrame:
+    """Number the rows of an aggregated table: in one task for a few categories, else by ranges."""
+    if large:
+        return surrogate_key(df, "pk_gold_id", order, total_order=True)
     place = W.orderBy(*[F.asc_nulls_last(c) for c in order])
     return df.select(F.row_number().over(place).cast("bigint").alias("pk_gold_id"), "*")
 
@@ -36,8 +41,11 @@ def month_grain(signal: DataFrame) -> DataFrame:
     )
 
 
-def category_performance(signal: DataFrame) -> DataFrame:
-    """Orders, returns, money and rates per category; a NULL category is a group of its own."""
+def category_performance(signal: DataFrame, large: bool = False) -> DataFrame:
+    """Orders, returns, money and rates per category; a NULL category is a group of its own.
+
+    ``large`` says that there are too many categories to number them in one task.
+    """
     return _scorecard(
         signal.groupBy("category").agg(
             F.count("order_id").alias("total_orders"),
@@ -46,33 +54,35 @@ def category_performance(signal: DataFrame) -> DataFrame:
             money_sum(F.col("revenue_erosion")).alias("total_refunds"),
             money_sum(F.col("net_revenue")).alias("net_revenue"),
             F.avg("days_to_return").alias("avg_days_to_return"),
-        )
+        ),
+        large,
     )
 
 
-def _scorecard(sums: DataFrame) -> DataFrame:
+def _scorecard(sums: DataFrame, large: bool) -> DataFrame:
     rated = sums.select(
         "*",
         ratio(F.col("total_returns"), F.col("total_orders")).alias("return_rate"),
         ratio(F.col("total_refunds"), F.col("gross_revenue")).alias("revenue_erosion_pct"),
     )
-    return _keyed(rated, "category")
+    return _keyed(rated, ["category"], large)
 
 
-def monthly_trend(signal: DataFrame) -> DataFrame:
+def monthly_trend(signal: DataFrame, large: bool = False) -> DataFrame:
     """Orders, returns, net revenue and return rate per category and month, in that order."""
     return _trend(
         signal.groupBy("category", "order_month").agg(
             F.count("order_id").alias("orders"),
             F.coalesce(F.sum("is_returned"), F.lit(0)).alias("returns"),
             money_sum(F.col("net_revenue")).alias("net_revenue"),
-        )
+        ),
+        large,
     )
 
 
-def _trend(sums: DataFrame) -> DataFrame:
+def _trend(sums: DataFrame, large: bool) -> DataFrame:
     rated = sums.select("*", ratio(F.col("returns"), F.col("orders")).alias("return_rate"))
-    return _keyed(rated, "category", "order_month").orderBy("pk_gold_id")
+    return _keyed(rated, ["category", "order_month"], large).orderBy("pk_gold_id")
 
 
 def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
@@ -80,6 +90,7 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
     if signal is None:
         raise ValueError("Gold needs the Signal table")
     months = stage(month_grain(signal), "month-grain")
+    large = months.count() > ONE_TASK_ROWS
 
     def total(name: str) -> Column:
         return F.coalesce(F.sum(name), F.lit(0))
@@ -102,7 +113,7 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
         F.coalesce("returns", F.lit(0)).alias("returns"),
         money_total(F.col("net_revenue_units"), F.col("net_revenue_parts")).alias("net_revenue"),
     )
-    return {"category_return_performance": _scorecard(scorecard), "monthly_category_trend": _trend(trend)}
+    return {"category_return_performance": _scorecard(scorecard, large), "monthly_category_trend": _trend(trend, large)}
 
 
 def overall_return_rate(signal: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from ebbmark.sources.sinks import record_json
 
 # Fixed value: sample rows per table.
 SAMPLE_ROWS = 3
+# Longer texts are shuffled as digests.
+LONG_TEXT = 128
 
 
 def _present(field: T.StructField) -> Column:
@@ -70,12 +72,16 @@ def profile(df: DataFrame, dataset: str, fmt: str = "parquet", approximate: bool
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """Exact number of distinct non-NULL values per column."""
-    texts = df.select(*[to_text(_present(f), f.dataType).alias(f.name) for f in df.schema])
+    """Exact number of distinct non-NULL values per column; long texts are told apart by SHA-256."""
+    texts = df.select(*[_short(to_text(_present(f), f.dataType)).alias(f.name) for f in df.schema])
     values = texts.unpivot([], [col(c) for c in df.columns], "column", "value").where("value is not null")
     return values.groupBy("column").agg(F.countDistinct("value").alias("unique_count"))
 
 
+def _short(text: Column) -> Column:
+    return F.when(F.length(text) > LONG_TEXT, F.sha2(text, 256)).otherwise(text)
+
+
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     """The first few rows as JSON, for a preview."""
     return record_json(df.limit(n))

@@ -15,7 +15,7 @@ from ebbmark.operators.merge import hot_keys
 from ebbmark.operators.rules import Rule
 from ebbmark.operators.signal import join_keys, resolve_roles, signal
 from ebbmark.sources.readers import file_format, read_any
-from ebbmark.sources.runlog import log_event, observe_rows
+from ebbmark.sources.runlog import log_events, observe_rows
 from ebbmark.sources.sinks import write_layer
 
 SIGNAL_TABLE = "order_line_signals"
@@ -51,15 +51,10 @@ def landing_to_gold(
 
     notes = LayerNotes()
     bronzes = bronze(tables, bronze_rules, run_ts, sources, notes)
-    run.note("bronze", notes)
-    bronzes = {
-        name: run.keep(df, "bronze", name, source_format=file_format(sources[name]) if sources else "table")
-        for name, df in bronzes.items()
-    }
+    formats = {name: file_format(sources[name]) if sources else "table" for name in bronzes}
+    bronzes = run.keep(bronzes, "bronze", notes, formats)
     notes = LayerNotes()
-    silvers = silver(bronzes, silver_rules, order_by, notes)
-    run.note("silver", notes)
-    silvers = {name: run.keep(df, "silver", name) for name, df in silvers.items()}
+    silvers = run.keep(silver(bronzes, silver_rules, order_by, notes), "silver", notes)
 
     roles = resolve_roles(silvers)
     hot = {}
@@ -67,8 +62,9 @@ def landing_to_gold(
         if role in roles:
             _, key = join_keys(roles["orders"].columns, roles[role].columns, keyword)
             hot[f"hot_{role}"] = hot_keys(roles[role], key)
-    signals = run.keep(signal(**roles, **hot), "signal", SIGNAL_TABLE, return_rate=F.round(F.avg("is_returned"), 4))
-    golds = {name: run.keep(df, "gold", name) for name, df in gold(signals).items()}
+    signals = {SIGNAL_TABLE: signal(**roles, **hot)}
+    signals = run.keep(signals, "signal", return_rate=F.round(F.avg("is_returned"), 4))[SIGNAL_TABLE]
+    golds = run.keep(gold(signals), "gold")
 
     result = {SIGNAL_TABLE: signals, **golds}
     if out:
@@ -83,21 +79,23 @@ class _Run:
     def __init__(self, spark: SparkSession, out: str | None, run_id: str):
         self.spark, self.out, self.run_id = spark, out, run_id
 
-    def log(self, agent: str, action: str, **details) -> None:
-        if self.out:
-            log_event(self.spark, os.path.join(self.out, "log"), self.run_id, agent, action, **details)
-
-    def note(self, layer: str, notes: LayerNotes) -> None:
-        for name in notes.skipped:
-            self.log(layer, "table_skipped", target_table=name)
-        for name, columns in notes.recovered.items():
-            self.log(layer, "business_keys_recovered", table=name, columns=",".join(columns))
-
-    def keep(self, df: DataFrame, layer: str, table: str, source_format: str | None = None, **metrics) -> DataFrame:
+    def keep(self, tables: dict[str, DataFrame], layer: str, notes: LayerNotes | None = None,
+             formats: Mapping[str, str] | None = None, **metrics) -> dict[str, DataFrame]:
+        """Write the tables of one layer, log what was written and return the scans of it."""
         if not self.out:
-            return df
-        observed, seen = observe_rows(df, f"{layer}-{table}", **metrics)
-        written = write_layer(observed, self.out, self.run_id, layer, table)
-        extra = {"source_format": source_format} if source_format else {}
-        self.log(layer, "table_written", table=table, **seen.get, **extra)
+            return tables
+        events = []
+        if notes:
+            events += [(layer, "table_skipped", {"target_table": name}) for name in notes.skipped]
+            events += [
+                (layer, "business_keys_recovered", {"table": name, "columns": ",".join(columns)})
+                for name, columns in notes.recovered.items()
+            ]
+        written = {}
+        for name, df in tables.items():
+            observed, seen = observe_rows(df, f"{layer}-{name}", **metrics)
+            written[name] = write_layer(observed, self.out, self.run_id, layer, name)
+            source = {"source_format": formats[name]} if formats else {}
+            events.append((layer, "table_written", {"table": name, **seen.get, **source}))
+        log_events(self.spark, os.path.join(self.out, "log"), self.run_id, events)
         return written

@@ -361,20 +361,58 @@ def profile_lineitem(spark, folder):
     return profile.profile(scan(spark, folder, "lineitem"), "lineitem")
 
 
-@query()
+@query(" UNION ALL ".join(
+    f"""SELECT '{n}' AS "column", '{dtype}' AS dtype, count(*) AS row_count, count(*) - count({n}) AS null_count, true AS close FROM lineitem"""
+    for n, (dtype, _) in _PROFILED.items()
+))
 def profile_approximate(spark, folder):
-    return profile.profile(scan(spark, folder, "lineitem"), "lineitem", approximate=True)
+    """The sketched distinct counts lie within 15 percent of the exact ones."""
+    lines = scan(spark, folder, "lineitem")
+    sketched = profile.profile(lines, "lineitem", approximate=True).withColumnRenamed("unique_count", "sketched")
+    both = sketched.join(profile.distinct_counts(lines), "column")
+    close = F.abs(F.col("sketched") - F.col("unique_count")) <= 0.15 * F.col("unique_count")
+    return both.select("column", "dtype", "row_count", "null_count", close.alias("close"))
 
 
-@query()
+@query("SELECT count(*) AS rows, count(DISTINCT text) AS texts, count(DISTINCT lang) AS langs, count(DISTINCT source) AS sources FROM documents")
+def profile_documents(spark, folder):
+    """Distinct values of long texts."""
+    documents = scan(spark, folder, "documents")
+    counts = profile.profile(documents, "documents")
+
+    def unique(name: str):
+        return F.max(F.when(F.col("column") == name, F.col("unique_count")))
+
+    return counts.agg(F.max("row_count").alias("rows"), unique("text").alias("texts"), unique("lang").alias("langs"), unique("source").alias("sources"))
+
+
+_PREVIEWED = (
+    ("orders", "o", "order_id,order_date,customer_id,product_id,quantity,unit_price,order_amount,channel"),
+    ("returns", "r", "return_id,order_id,return_date,return_reason,refund_amount"),
+    ("order_line_signals", "s", "order_id,product_id,category,sub_category,quantity,order_amount,is_returned,return_reason,"
+                                "days_to_return,revenue_erosion,net_revenue,order_month"),
+)
+
+
+@query(f"WITH {_SIGNAL}" + " UNION ALL ".join(
+    f"""SELECT '{table}' AS table_name, '{columns}' AS columns, count(*) AS row_count, least(count(*), 3) AS samples FROM {source}"""
+    for table, source, columns in _PREVIEWED
+))
 def layer_preview(spark, folder):
-    return profile.layer_preview({**starmap.views(spark, folder), "order_line_signals": _signals(spark, folder)})
+    """Which rows serve as samples is left to Spark; their number is not."""
+    tables = {**starmap.views(spark, folder), "order_line_signals": _signals(spark, folder)}
+    preview = profile.layer_preview({name: tables[name] for name, _, _ in _PREVIEWED})
+    return preview.select(
+        F.col("table").alias("table_name"), F.array_join("columns", ",").alias("columns"), "row_count", F.size("sample").cast("bigint").alias("samples")
+    )
 
 
-@query()
+@query(f"WITH {_SCORECARD} {_SCORECARD_ROWS}")
 def result_records(spark, folder):
-    """The JSON records of a result, up to the record limit."""
-    return sinks.records(_scorecard(spark, folder))
+    """The JSON records of a result, up to the record limit, read back."""
+    card = _scorecard(spark, folder)
+    records = sinks.records(card)
+    return _round_scorecard(records.select(F.from_json("record", card.schema).alias("r")).select("r.*"))
 
 
 # ---------------------------------------------------------------- cleansing
@@ -759,10 +797,12 @@ def sql_query(spark, folder):
     return sqlapi.query(spark, "SELECT category, total_orders, total_returns FROM category_return_performance WHERE total_returns > 0;")
 
 
-@query()
+@query(f"WITH {_TREND} SELECT category, order_month, orders FROM t ORDER BY category, order_month LIMIT 200")
 def sql_records(spark, folder):
+    """The first 200 records of a longer result, read back from JSON."""
     _registered(spark, folder)
-    return sqlapi.query_records(spark, "SELECT category, order_month, orders FROM monthly_category_trend ORDER BY category, order_month")
+    records = sqlapi.query_records(spark, "SELECT category, order_month, orders FROM monthly_category_trend ORDER BY category, order_month")
+    return records.select(F.from_json("record", "category string, order_month string, orders bigint").alias("r")).select("r.*")
 
 
 @query(f"""WITH {_SCORECARD} SELECT 'Return rate' AS title, 'line' AS chart_type, category AS x, round(return_rate, 6) AS y, 'ok' AS status FROM c""")
@@ -788,12 +828,31 @@ def question_answer(spark, folder):
 
 # ---------------------------------------------------------------- matching, recall, free text
 
-@query()
-def fuzzy_match(spark, folder):
-    """Part names and document sources against a list of canonical names."""
+_CANONICAL = ["widget", "gizmos", "Red Ring", "anvils", "high priority", "not specified", "5-low"]
+_NAMES = "SELECT DISTINCT name FROM (SELECT p_name AS name FROM part UNION ALL SELECT o_orderpriority AS name FROM orders)"
+_INSIDE = "CASE " + " ".join(
+    f"WHEN contains(lower(name), '{c.lower()}') OR contains('{c.lower()}', lower(name)) THEN '{c}'" for c in _CANONICAL
+) + " END"
+
+
+def _matched(spark: SparkSession, folder: str) -> DataFrame:
     names = scan(spark, folder, "part").select(F.col("p_name").alias("name"))
     names = names.unionByName(scan(spark, folder, "orders").select(F.col("o_orderpriority").alias("name")))
-    return match.fuzzy_match(names, "name", ["widget", "gizmos", "Red Ring", "anvils", "high priority", "not specified"])
+    return match.fuzzy_match(names, "name", _CANONICAL)
+
+
+@query()
+def fuzzy_match(spark, folder):
+    """Part names and order priorities against a list of canonical names."""
+    return _matched(spark, folder)
+
+
+@query(f"""WITH n AS ({_NAMES}), e AS (SELECT name, CASE lower(name) {" ".join(f"WHEN '{c.lower()}' THEN '{c}'" for c in _CANONICAL)} END AS exact, {_INSIDE} AS inside FROM n)
+SELECT name, coalesce(exact, inside) AS match, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN inside IS NOT NULL THEN 'inside' END AS tier FROM e""")
+def fuzzy_match_by_name(spark, folder):
+    """The same without what similarity decides."""
+    sure = F.col("tier").isin("exact", "inside")
+    return _matched(spark, folder).select("name", F.when(sure, F.col("match")).alias("match"), F.when(sure, F.col("tier")).alias("tier"))
 
 
 _CENTRES = "c AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(e) AS m FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label)"

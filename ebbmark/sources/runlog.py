@@ -12,15 +12,18 @@ LOG_SCHEMA = "timestamp string, agent string, action string, details map<string,
 
 
 def log_event(spark: SparkSession, log_dir: str, run_id: str, agent: str, action: str, **details) -> None:
-    row = (
-        datetime.now(timezone.utc).isoformat(),
-        agent,
-        action,
-        {key: None if value is None else str(value) for key, value in details.items()},
-        run_id,
-    )
-    event = spark.createDataFrame([row], LOG_SCHEMA).coalesce(1)
-    event.write.mode("append").partitionBy("run_id").json(log_dir)
+    log_events(spark, log_dir, run_id, [(agent, action, details)])
+
+
+def log_events(spark: SparkSession, log_dir: str, run_id: str, events: list[tuple[str, str, dict]]) -> None:
+    """Append (agent, action, details) events, all with the time of writing, as one small file."""
+    now = datetime.now(timezone.utc).isoformat()
+    rows = [
+        (now, agent, action, {k: None if v is None else str(v) for k, v in details.items()}, run_id)
+        for agent, action, details in events
+    ]
+    if rows:
+        spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").partitionBy("run_id").json(log_dir)
 
 
 def read_log(spark: SparkSession, log_dir: str, run_id: str) -> DataFrame:
