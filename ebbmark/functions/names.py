@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,9 +11,19 @@ from pyspark.sql import functions as F
 LAYER_SUFFIXES = ("_bronze", "_silver")
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """The column called exactly ``name``, even when the name holds dots or back-ticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def pick(df: DataFrame, names: Iterable[str] | Mapping[str, str]) -> DataFrame:
+    """Select columns by exact name; a mapping also renames (old name to new)."""
+    pairs = names.items() if isinstance(names, Mapping) else [(name, name) for name in names]
+    return df.selectExpr(*[quoted(a) if a == b else f"{quoted(a)} AS {quoted(b)}" for a, b in pairs])
 
 
 def is_business_key(name: str) -> bool:

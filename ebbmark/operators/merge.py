@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbmark.functions.names import col
+from ebbmark.functions.names import col, pick
 
 SALTS = 32
 
@@ -33,9 +33,13 @@ def merge_left(
     shared_key = left_key == right_key
     names = {c: c + suffix if c in left.columns and not (shared_key and c == right_key) else c for c in right.columns}
     # Names of their own for both keys, so that nothing below can be ambiguous.
-    right = right.select(*[col(c).alias(names[c]) for c in right.columns if not (shared_key and c == right_key)], col(right_key).alias("_right_key"))
+    if shared_key:
+        names[right_key] = "_right_key"
+        right = pick(right, names)
+    else:
+        right = pick(right, names).withColumn("_right_key", col(names[right_key]))
     kept = [c for c in right.columns if c != "_right_key"]
-    left_rows = left.select("*", col(left_key).alias("_left_key"))
+    left_rows = left.withColumn("_left_key", col(left_key))
 
     def same(a: str, b: str):
         return F.col(a).eqNullSafe(F.col(b)) if null_safe else F.col(a) == F.col(b)
@@ -43,7 +47,7 @@ def merge_left(
     condition = same("_left_key", "_right_key")
     if not hot:
         joined = left_rows.join(right, condition, "left")
-        return joined.select(*[col(c) for c in [*left.columns, *kept]])
+        return pick(joined, [*left.columns, *kept])
 
     def is_hot(key: str):
         listed = [value for value in hot if value is not None]
@@ -65,7 +69,7 @@ def merge_left(
     left_rows = left_rows.select("*", F.explode(visits).alias("_left_salt"))
     joined = left_rows.join(right, condition & (F.col("_left_salt") == F.col("_right_salt")), "left")
     joined = joined.where(F.col("_hot").isNull() | F.col("_matched"))
-    return joined.select(*[col(c) for c in [*left.columns, *kept]])
+    return pick(joined, [*left.columns, *kept])
 
 
 def hot_keys(df: DataFrame, key: str, share: float = 0.001, most: int = 500) -> list:

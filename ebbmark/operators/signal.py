@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ebbmark.functions import measures
 from ebbmark.functions.casts import to_number, to_timestamp
 from ebbmark.functions.dates import days_between, month_start
-from ebbmark.functions.names import col, dtype_of, find_column, is_business_key
+from ebbmark.functions.names import col, dtype_of, find_column, is_business_key, pick
 from ebbmark.operators.match import best_match
 from ebbmark.operators.merge import merge_left
 
@@ -88,7 +88,7 @@ def signal(
         p = _prefixed(_needed_products(products, right), "p_")
         lines = merge_left(lines, p, f"o_{left}", f"p_{right}", hot=hot_products)
 
-    def pick(table: DataFrame | None, prefix: str, *words: str) -> Column | None:
+    def value(table: DataFrame | None, prefix: str, *words: str) -> Column | None:
         name = find_column(table.columns, *words) if table is not None else None
         return col(prefix + name) if name else None
 
@@ -101,30 +101,30 @@ def signal(
         return to_timestamp(col(prefix + name), dtype_of(table, name)) if name else None
 
     if products is not None:
-        category = pick(products, "p_", "category")
-        sub_category = pick(products, "p_", "sub_category", "subcategory")
+        category = value(products, "p_", "category")
+        sub_category = value(products, "p_", "sub_category", "subcategory")
     else:
-        category, sub_category = pick(orders, "o_", "category"), None
-        category = category if category is not None else pick(returns, "r_", "category")
+        category, sub_category = value(orders, "o_", "category"), None
+        category = category if category is not None else value(returns, "r_", "category")
     amount = number(orders, "o_", "order_amount", "amount")
     refund = number(returns, "r_", "refund_amount", "refund")
     refund = refund if refund is not None else F.lit(0.0)
-    return_id = pick(returns, "r_", "return_id")
+    return_id = value(returns, "r_", "return_id")
     ordered, returned = moment(orders, "o_", "order_date"), moment(returns, "r_", "return_date")
 
-    def known(value: Column | None, default: Column) -> Column:
-        return value if value is not None else default
+    def known(found: Column | None, default: Column) -> Column:
+        return found if found is not None else default
 
     missing = F.lit(None)
     columns = {
-        "order_id": known(pick(orders, "o_", "order_id"), missing.cast("string")),
-        "product_id": known(pick(orders, "o_", "product_id"), missing.cast("string")),
+        "order_id": known(value(orders, "o_", "order_id"), missing.cast("string")),
+        "product_id": known(value(orders, "o_", "product_id"), missing.cast("string")),
         "category": known(category, F.lit("unknown")),
         "sub_category": known(sub_category, F.lit("unknown")),
-        "quantity": known(pick(orders, "o_", "quantity"), missing.cast("bigint")),
+        "quantity": known(value(orders, "o_", "quantity"), missing.cast("bigint")),
         "order_amount": known(amount, missing.cast("double")),
         "is_returned": measures.is_returned(return_id) if return_id is not None else F.lit(0),
-        "return_reason": known(pick(returns, "r_", "reason"), missing.cast("string")),
+        "return_reason": known(value(returns, "r_", "reason"), missing.cast("string")),
         "days_to_return": days_between(ordered, returned)
         if ordered is not None and returned is not None
         else missing.cast("bigint"),
@@ -137,7 +137,7 @@ def signal(
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     """Names per source table, so that equal names of two tables stay apart in the join."""
-    return df.select(*[col(c).alias(prefix + c) for c in df.columns])
+    return pick(df, {c: prefix + c for c in df.columns})
 
 
 def _needed_returns(returns: DataFrame, key: str) -> DataFrame:
@@ -151,7 +151,7 @@ def _needed_products(products: DataFrame, key: str) -> DataFrame:
 
 def _needed(df: DataFrame, key: str, words: tuple[tuple[str, ...], ...]) -> DataFrame:
     wanted = [key, *[find_column(df.columns, *w) for w in words]]
-    return df.select(*[col(c) for c in dict.fromkeys(wanted) if c])
+    return pick(df, [c for c in dict.fromkeys(wanted) if c])
 
 
 def _one_return_per_order(returns: DataFrame, key: str) -> DataFrame:

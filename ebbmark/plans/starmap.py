@@ -28,8 +28,8 @@ def products(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, folder: str) -> DataFrame:
-    lines, heads = scan(spark, folder, "lineitem"), scan(spark, folder, "orders")
+def orders(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    lines, heads = lines or scan(spark, folder, "lineitem"), scan(spark, folder, "orders")
     return lines.join(heads, lines.l_orderkey == heads.o_orderkey).select(
         line_id().alias("order_id"),
         F.col("o_orderdate").alias("order_date"),
@@ -42,8 +42,8 @@ def orders(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def returns(spark: SparkSession, folder: str) -> DataFrame:
-    return scan(spark, folder, "lineitem").where("l_returnflag = 'R'").select(
+def returns(spark: SparkSession, folder: str, lines: DataFrame | None = None) -> DataFrame:
+    return (lines or scan(spark, folder, "lineitem")).where("l_returnflag = 'R'").select(
         F.concat(F.lit("R-"), line_id()).alias("return_id"),
         line_id().alias("order_id"),
         F.col("l_shipdate").alias("return_date"),
@@ -53,4 +53,9 @@ def returns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def views(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {"orders": orders(spark, folder), "returns": returns(spark, folder), "products": products(spark, folder)}
+    lines = scan(spark, folder, "lineitem")
+    return {
+        "orders": orders(spark, folder, lines),
+        "returns": returns(spark, folder, lines),
+        "products": products(spark, folder),
+    }
