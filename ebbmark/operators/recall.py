@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -12,28 +16,48 @@ from ebbmark.functions.names import col
 RESULTS = 3
 
 
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two number arrays."""
-    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+def recall(
+    store: DataFrame,
+    queries: list[tuple[object, list[float]]],
+    n_results: int = RESULTS,
+    id_column: str = "vec_id",
+    vector_column: str = "embedding",
+) -> DataFrame:
+    """The ``n_results`` nearest stored rows of each query vector by Euclidean distance, nearest first.
 
+    The store is scanned once, by id and vector only. Each batch of it is reduced to its own nearest
+    rows where it is read, so a task sends a few rows per query to the final ranking; ties go to the
+    smaller id. Array arithmetic does this several times faster than an expression per element.
+    """
+    id_type = store.schema[id_column].dataType.simpleString()
+    names = store.sparkSession.createDataFrame(
+        [(place, name) for place, (name, _) in enumerate(queries)], ["_query", "query_id"]
+    )
+    vectors = [np.asarray(vector, dtype=float) for _, vector in queries]
 
-def recall(store: DataFrame, queries: list[tuple[object, list[float]]], n_results: int = RESULTS,
-           id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
-    """The ``n_results`` nearest stored rows of each query vector, nearest first.
+    def nearest_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids, stored = batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()).astype(float)
+            for place, vector in enumerate(vectors):
+                distances = np.sqrt(((stored - vector) ** 2).sum(axis=1))
+                near = _nearest(ids, distances, n_results)
+                yield pd.DataFrame({"_query": place, "id": ids[near], "distance": distances[near]})
 
-    The query vectors are literals of the plan and the store is scanned once. The rank filter runs
-    in each task before the shuffle, so a task sends at most ``n_results`` rows per query.
-    """
-    asked = F.array(*[F.struct(F.lit(name).alias("query_id"), F.lit([float(x) for x in vector]).alias("v")) for name, vector in queries])
-    scored = store.select(F.explode(asked).alias("q"), "*").select(
-        F.col("q.query_id").alias("query_id"),
-        col(id_column),
-        distance(col(vector_column), F.col("q.v")).alias("distance"),
+    known = store.select(col(id_column).alias("id"), col(vector_column).alias("v")).where("v is not null")
+    near = known.mapInPandas(nearest_of_batches, f"_query bigint, id {id_type}, distance double")
+    order = W.partitionBy("_query").orderBy("distance", "id")
+    ranked = near.select("*", F.row_number().over(order).alias("rank")).where(F.col("rank") <= n_results)
+    return ranked.join(names, "_query").select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias(id_column), "distance"
     )
-    nearest = W.partitionBy("query_id").orderBy("distance", col(id_column))
-    ranked = scored.select("*", F.row_number().over(nearest).alias("rank")).where(F.col("rank") <= n_results)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), col(id_column), "distance")
+
+
+def _nearest(ids: np.ndarray, distances: np.ndarray, n: int) -> np.ndarray:
+    """Places of the ``n`` smallest distances, the smaller id first where they tie."""
+    places = np.arange(len(ids))
+    if len(ids) > n:
+        places = places[distances <= np.partition(distances, n - 1)[n - 1]]
+    return places[np.lexsort((ids[places], distances[places]))][:n]
 
 
 def upsert(store: DataFrame, updates: DataFrame, key: str, version: str | None = None) -> DataFrame:

@@ -39,20 +39,26 @@ def join_keys(left: list[str], right: list[str], keyword: str) -> tuple[str, str
 
 
 def resolve_roles(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-    """Which table plays which role, by name. A table serves one role, the one it fits best."""
+    """Which table plays which role, by name. A table serves one role, the one it fits best:
+    equal names claim their table first, then names that contain the role, then similar ones."""
+    def equal(word: str, names: list[str]) -> str | None:
+        return next((n for n in names if n.lower() == word), None)
+
+    def containing(word: str, names: list[str]) -> str | None:
+        return next((n for n in names if word in n.lower()), None)
+
+    def similar(word: str, names: list[str]) -> str | None:
+        return best_match(word, names, ROLE_CUTOFF)
+
     free = list(tables)
     roles: dict[str, DataFrame] = {}
-    passes = [lambda word, names: next((n for n in names if n.lower() == word), None),
-              lambda word, names: next((n for n in names if word in n.lower()), None),
-              lambda word, names: best_match(word, names, ROLE_CUTOFF)]
-    for look in passes:
-        for role, words in ROLE_NAMES.items():
-            if role in roles:
-                continue
-            name = next((n for n in (look(word, free) for word in words) if n), None)
-            if name:
-                roles[role] = tables[name]
-                free.remove(name)
+    for look in (equal, containing, similar):
+        for spelling in (0, 1):
+            for role, words in ROLE_NAMES.items():
+                name = None if role in roles else look(words[spelling], free)
+                if name:
+                    roles[role] = tables[name]
+                    free.remove(name)
     if "orders" not in roles:
         raise ValueError(f"No orders table among {list(tables)}")
     return roles

@@ -9,9 +9,10 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbmark.functions.names import col
+from ebbmark.functions.names import col, table_name
 from ebbmark.operators.forecast import at_risk_chart_series, chart_series, forecast, forecast_summary, rank_at_risk
 from ebbmark.operators.gold import erosion_ratio, slow_returns, top_erosion, top_return_rate, worst_both, worst_one_only
+from ebbmark.sources.readers import read_parquet
 from ebbmark.sources.sinks import RECORD_LIMIT, records
 
 # The chart types known; anything else is drawn as a bar chart.
@@ -25,6 +26,11 @@ def register(tables: Mapping[str, DataFrame]) -> dict[str, list[str]]:
     return {name: df.columns for name, df in tables.items()}
 
 
+def register_layer(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """Register written layer tables under the names of their files."""
+    return register({table_name(path): read_parquet(spark, path) for path in paths})
+
+
 def query(spark: SparkSession, sql: str) -> DataFrame:
     """The result of a query. As a sub-query only a query can run, never a command."""
     return spark.sql(f"SELECT * FROM (\n{sql.strip().rstrip(';')}\n)")

@@ -55,7 +55,7 @@ def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
 
 def _starts_with_object(spark: SparkSession, path: str) -> bool:
     first = spark.read.text(path).where(F.trim("value") != "").first()
-    return first is not None and first.value.lstrip("﻿ \t").startswith("{")
+    return first is not None and first.value.lstrip("\ufeff \t").startswith("{")
 
 
 def unwrap_envelope(df: DataFrame) -> DataFrame:

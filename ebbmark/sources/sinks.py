@@ -7,12 +7,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: the most records a query result hands back.
+# The most records a query result hands back, and the layers whose tables have a suffix.
 RECORD_LIMIT = 200
+SUFFIXED_LAYERS = ("bronze", "silver")
 
 
 def layer_path(root: str, run_id: str, layer: str, table: str) -> str:
-    return os.path.join(root, run_id, layer, table if table.endswith(f"_{layer}") else f"{table}_{layer}")
+    """Bronze and Silver tables carry their layer in the name, Signal and Gold tables do not."""
+    return os.path.join(root, run_id, layer, f"{table}_{layer}" if layer in SUFFIXED_LAYERS else table)
 
 
 def write_layer(df: DataFrame, root: str, run_id: str, layer: str, table: str) -> DataFrame:

@@ -7,6 +7,7 @@ from ebbmark.operators import layers, merge, rules
 from ebbmark.operators.rules import Rule
 from ebbmark.operators.signal import SIGNAL_COLUMNS, join_keys, resolve_roles, signal, signal_from_tables
 from ebbmark.plans.medallion import landing_to_gold
+from ebbmark.plans.sqlapi import register_layer, run_sql
 from ebbmark.sources.runlog import read_log
 
 
@@ -164,6 +165,8 @@ def test_signal_join_keys():
 def test_roles_by_name(spark, orders, returns, products):
     roles = resolve_roles({"order_transactions": orders, "return_events": returns, "product_catalog": products})
     assert roles["orders"] is orders and roles["returns"] is returns and roles["products"] is products
+    roles = resolve_roles({"order_returns": returns, "order_transactions": orders})
+    assert roles["orders"] is orders and roles["returns"] is returns
     with pytest.raises(ValueError, match="No orders table"):
         resolve_roles({"returns": returns, "products": products})
     assert signal_from_tables({"orders": orders}).count() == 4
@@ -238,6 +241,9 @@ def test_whole_chain_from_files_with_layers_and_log(spark, orders, returns, prod
     check_invariants(out["order_line_signals"], out["category_return_performance"], out["monthly_category_trend"])
     assert spark.read.parquet(out_dir + "/r1/silver/orders_silver").columns[0] == "pk_orders_silver_id"
     assert "_load_timestamp" in out["orders_bronze"].columns
+    catalog = register_layer(spark, [out_dir + "/r1/gold/category_return_performance", out_dir + "/r1/gold/monthly_category_trend"])
+    assert catalog["monthly_category_trend"] == out["monthly_category_trend"].columns
+    assert run_sql(spark, "SELECT count(*) AS n FROM category_return_performance") == '[{"n":3}]'
     log = read_log(spark, out_dir + "/log", "r1").collect()
     written = {r.details["table"]: r.details for r in log if r.action == "table_written"}
     assert written["order_line_signals"]["rows"] == "4" and written["order_line_signals"]["return_rate"] == "0.25"

@@ -95,6 +95,13 @@ def test_recall_equals_brute_force(spark):
         assert [r.distance for r in mine] == pytest.approx(sorted(distances)[:4])
 
 
+def test_recall_breaks_ties_by_id_and_skips_missing_vectors(spark):
+    rows = [(f"v{i:03d}", [0.0, 1.0]) for i in range(200)] + [("near", [1.0, 1.0]), ("none", None)]
+    store = spark.createDataFrame(rows, "vec_id string, embedding array<float>").repartition(5)
+    got = recall(store, [(7, [1.0, 1.0])], 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(7, 1, "near", 0.0), (7, 2, "v000", 1.0), (7, 3, "v001", 1.0)]
+
+
 def test_upsert(spark):
     store = spark.createDataFrame([("a", "old", 0), ("b", "kept", 0)], "id string, doc string, at int")
     updates = spark.createDataFrame([("a", "newer", 2), ("a", "new", 1), ("c", "added", 1)], store.schema)
