@@ -746,7 +746,8 @@ def csv_scan_multiline(spark, folder):
     return readers.read_any(spark, path)
 
 
-_NESTED = """SELECT o_orderkey AS "order.id", o_orderstatus AS "order.state.code", o_totalprice AS "order.state.total", o_custkey AS customer FROM orders"""
+# The dots of flattened names are written as two underscores here, for tools that split names at dots.
+_NESTED = """SELECT o_orderkey AS order__id, o_orderstatus AS order__state__code, o_totalprice AS order__state__total, o_custkey AS customer FROM orders"""
 
 
 def _nested(spark: SparkSession, folder: str) -> DataFrame:
@@ -754,16 +755,20 @@ def _nested(spark: SparkSession, folder: str) -> DataFrame:
     return scan(spark, folder, "orders").select(F.struct(F.col("o_orderkey").alias("id"), state.alias("state")).alias("order"), F.col("o_custkey").alias("customer"))
 
 
+def _without_dots(df: DataFrame) -> DataFrame:
+    return df.toDF(*[c.replace(".", "__") for c in df.columns])
+
+
 @query(_NESTED)
 def flatten_records(spark, folder):
-    return readers.flatten(_nested(spark, folder))
+    return _without_dots(readers.flatten(_nested(spark, folder)))
 
 
 @query(_NESTED)
 def json_lines_scan(spark, folder):
     path = scratch_path(spark, "landing") + ".json"
     _nested(spark, folder).write.json(path)
-    return readers.read_json(spark, path, lines=True)
+    return _without_dots(readers.read_json(spark, path, lines=True))
 
 
 @query("""SELECT user_id, list_record.event_id, list_record.value FROM (SELECT user_id, struct_pack(event_id := event_id, value := value) AS list_record FROM events)""")

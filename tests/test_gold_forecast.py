@@ -138,6 +138,16 @@ def test_profile_agrees_with_pandas(spark):
     assert {r.column: r.unique_count for r in pf.profile(df, "t", approximate=True).collect()} == {"i": 2, "d": 2, "s": 2, "b": 2}
 
 
+def test_distinct_counts_of_every_type(spark):
+    df = spark.range(4000).selectExpr(
+        "id", "cast(id % 7 as int) AS i", "cast(id as double) / 3 AS d", "cast(id % 11 as float) AS f", "if(id % 2 = 0, 0.0D, -0.0D) AS z",
+        "date_add(date'2020-01-01', cast(id % 500 as int)) AS day", "timestamp_micros(id * 1000003) AS at", "cast(id as decimal(10,2)) AS m",
+        "cast(id % 9 as decimal(30,2)) AS big", "array(id % 3) AS a", "repeat('x', cast(id % 300 as int)) AS s", "cast(null as int) AS n",
+    )
+    got = {r.column: r.unique_count for r in pf.profile(df, "t").collect()}
+    assert got == {"id": 4000, "i": 7, "d": 4000, "f": 11, "z": 1, "day": 500, "at": 4000, "m": 4000, "big": 9, "a": 3, "s": 300, "n": 0}
+
+
 def test_profile_of_an_empty_table(spark):
     row = pf.profile(spark.createDataFrame([], "a int"), "t").first()
     assert (row.row_count, row.null_pct, row.unique_count, row.mean) == (0, None, 0, None)
