@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_scratch: str | None = None
-
 
 def build_session(app: str = "ebbmark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every operator assumes: UTC, ANSI and AQE on."""
@@ -31,16 +28,16 @@ def build_session(app: str = "ebbmark", master: str | None = None, **conf: str)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused folder name below the cluster's ``spark.checkpoint.dir``.
+    """A new, unused folder name below the folder that driver and executors share.
 
-    A machine-local folder is used only where the setting is missing, as in a local test.
+    That is ``spark.checkpoint.dir``. Where it is unset, a local session uses its warehouse folder; on a
+    cluster the setting is required, as no other folder is known to be shared.
     """
-    global _local_scratch
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if _local_scratch is None:
-            _local_scratch = tempfile.mkdtemp(prefix="ebbmark-")
-        root = _local_scratch
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "scratch")
     return os.path.join(root, f"{label}-{uuid.uuid4().hex}")
 
 
