@@ -179,10 +179,10 @@ def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     and text share their spans.
     """
     rows, spans = spans_of(docs, id_col=id_col, text_col=text_col)
-    listed = rows.join(_listed(spans), "row").groupBy(F.col("doc_id").alias("of_"), "d1", "d2").agg(F.first("spans").alias("spans_"))
+    listed = rows.join(_listed(spans), "row").groupBy(F.col("doc_id").alias("of_"), F.col("d1").alias("e1_"), F.col("d2").alias("e2_")).agg(F.first("spans").alias("spans_"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.withColumns({"d1_": F.xxhash64(text), "d2_": F.xxhash64(F.lit("second"), text)})
-    joined = keyed.join(listed, F.col(id_col).eqNullSafe(F.col("of_")) & (F.col("d1_") == F.col("d1")) & (F.col("d2_") == F.col("d2")), "left")
+    joined = keyed.join(listed, keyed[id_col].eqNullSafe(F.col("of_")) & (F.col("d1_") == F.col("e1_")) & (F.col("d2_") == F.col("e2_")), "left")
     # each span is replaced where it begins behind all earlier ones; what overlaps is cut
     pieces = F.expr(
         f"""concat(

@@ -51,7 +51,8 @@ class PieceCounter:
             if not text:
                 found.append(0)
                 continue
-            # the library puts one space mark before a text; a lone closing space is its own mark
+            text = text.replace("▁", " ")  # to the library a space mark is a space
+            # it puts one space mark before a text; a lone closing space is its own mark
             if text[0] == " " or text[-1] == " " or "  " in text:
                 parts = [p[1:] for p in re.findall(" +[^ ]*", " " + text)]
             else:

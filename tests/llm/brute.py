@@ -1,0 +1,85 @@
+"""Plain versions of the operators, for small inputs."""
+
+import hashlib
+import re
+from collections import Counter
+
+WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_quality(text):
+    text = text or ""
+    words = WORDS.findall(text)
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {i + k for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if windows[w] > 1 for k in range(3)}
+    seen, equal = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            equal += line in seen
+            seen.add(line)
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), equal, len(covered), failed
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        n = int(d) * (1 + i % 2)
+        total += n - 9 * (n > 9)
+    return total % 10 == 0
+
+
+def base_spans(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                "card": 12 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                found.append((m.start(), rank, m.end(), kind))
+    return [f"{kind}:{start}:{end}" for start, _, end, kind in sorted(found)]
+
+
+def sha(spans):
+    return hashlib.sha256(",".join(spans).encode()).hexdigest()
+
+
+def shingles(text, n):
+    words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1)))
+
+
+def component_ids(rows, n, similar):
+    """Smallest id that each ``(id, text)`` reaches."""
+    sets = [(i, shingles(t, n)) for i, t in rows]
+    top = {i: i for i, _ in rows}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    where = {}
+    for k, (i, s) in enumerate(sets):
+        seen = Counter(j for x in s for j in where.get(x, ()))
+        for j, common in seen.items():
+            other, t = sets[j]
+            if 100 * common >= similar * (len(s) + len(t) - common):
+                a, b = sorted((root(i), root(other)))
+                top[b] = a
+        for x in s:
+            where.setdefault(x, []).append(k)
+    return {i: root(i) for i, _ in rows}
