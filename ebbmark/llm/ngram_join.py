@@ -15,40 +15,76 @@ WORDS, SIMILAR = 4, 85
 #: choice gives the same links, only at another cost, so the list may be bounded: it is broadcast.
 NOTED, FREQUENT, MOST_FREQUENT = 3, 32, 500_000
 #: Rounds in which each bucket is compared with one member only.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Bits of a set's sketch.
+SKETCH_BITS = 1024
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN_WORDS = 500_000
+_BYTE_STEP = 0xD6E8FEB86659FD93
+_WHITE = np.zeros(256, bool)
+_WHITE[[32, 9, 10, 11, 12, 13]] = True
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 class Shingler:
-    """Sorted distinct 64-bit hashes of the word n-grams of a text; of the whole sequence if it is shorter."""
+    """Sorted distinct 64-bit hashes of the word n-grams of a text; of the whole sequence if it is shorter.
+
+    A word's hash is a polynomial of its bytes: the difference of two running sums, moved to place 0 by an
+    inverse power. No word becomes a Python object.
+    """
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self._known: dict[bytes, int] = {}
+        self._powers(0)
 
     def __getstate__(self):
-        return {"words": self.words, "_known": {}}
+        return {"words": self.words}
+
+    def __setstate__(self, state):
+        self.words = state["words"]
+        self._powers(0)
+
+    def _powers(self, n: int) -> None:
+        self.up, self.down = (np.full(max(n, 1 << 16), p, np.uint64) for p in (_BYTE_STEP, pow(_BYTE_STEP, -1, 1 << 64)))
+        for powers in (self.up, self.down):
+            powers[0] = 1
+            np.cumprod(powers, dtype=np.uint64, out=powers)
+
+    def word_hashes(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode().lower(), np.uint8)
+        n = len(raw)
+        if n > len(self.up):
+            self._powers(2 * n)
+        solid = np.zeros(n + 2, bool)
+        np.logical_not(_WHITE[raw], out=solid[1:-1])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * self.up[:n], dtype=np.uint64, out=sums[1:])
+        return _mixed((sums[ends] - sums[starts]) * self.down[starts])
 
     def of(self, text: str) -> np.ndarray:
-        import xxhash
-
-        words, known, n = text.encode().lower().split(), self._known, self.words
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(known) > _KNOWN_WORDS:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        hashes = np.array([known[w] for w in words], np.uint64)
-        size = min(n, len(words))
-        found = np.full(len(words) - size + 1, size, np.uint64)
+        hashes = self.word_hashes(text)
+        if not len(hashes):
+            return hashes
+        size = min(self.words, len(hashes))
+        found = np.full(len(hashes) - size + 1, size, np.uint64)
         for i in range(size):
-            found = found * _STEP + hashes[i : len(words) - size + 1 + i]
-        found = (found ^ (found >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        return np.unique(found ^ (found >> np.uint64(29)))
+            found = found * _STEP + hashes[i : len(hashes) - size + 1 + i]
+        return np.unique(_mixed(found))
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """For each of ``SKETCH_BITS`` residues, whether an odd number of shingles has it.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits, which bounds what they share.
+    """
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
 
 
 def least_overlap(n: int, similar: int) -> int:
@@ -122,130 +158,123 @@ def ngram_links(
     texts have no shingles and stand alone; repeated rows each get a row and equal ids join their classes; an
     empty table gives no rows. Rows with a null id are linked to others of their class, but stand for none.
 
-    Only one document of each set is indexed. A bucket is never expanded into all its pairs: members are compared
+    Equal sets are one class in the index. A bucket is never expanded into all its pairs: members are compared
     with one pivot, compared pivots and buckets that hold a single component drop out, and only what is left
-    after some rounds is compared across its components. No link is lost.
+    after some rounds is compared across its components. No link is lost. A pair is dropped early only by bounds
+    that hold for every link (sizes, places in the prefix, sketches), and counted exactly before it counts.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     shingler = Shingler(words)
 
     def sets(c: list[list]) -> list[list]:
-        out: list[list] = [c[0], [], [], [], [[] for _ in c[0]]]
-        batch, seen = [], set()
+        out: list[list] = [c[0], [], [], [], [], [[] for _ in c[0]]]
+        batch = {}
         for text in c[1]:
             found = shingler.of(text)
             d1, d2 = _set_digest(found)
-            for column, x in zip(out[1:4], (len(found), d1, d2), strict=True):
+            batch[d1, d2] = found  # copies are one set
+            for column, x in zip(out[1:5], (len(found), d1, d2, sketch(found).tolist()), strict=True):
                 column.append(x)
-            if (d1, d2) not in seen:  # copies are one set
-                seen.add((d1, d2))
-                batch.append(found)
         if batch:
-            values, counts = np.unique(np.concatenate(batch), return_counts=True)
+            values, counts = np.unique(np.concatenate(list(batch.values())), return_counts=True)
             often = counts >= NOTED
-            out[4][0] = [{"s": s, "n": n} for s, n in zip(_signed(values[often]).tolist(), counts[often].tolist(), strict=True)]
+            out[5][0] = [{"s": s, "n": n} for s, n in zip(_signed(values[often]).tolist(), counts[often].tolist(), strict=True)]
         return out
 
     texts = whole_texts(docs, id_col, text_col)
-    rows = stage(map_texts(texts, sets, f"doc_id {kind}, n_shingles long, d1 long, d2 long, noted array<struct<s:long,n:long>>"), "shingle-sets")
-    classes = stage(rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id")), "shingle-classes")
+    rows = stage(map_texts(texts, sets, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketch array<long>, noted array<struct<s:long,n:long>>"), "shingle-sets")
+    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketch").alias("sketch"))
+    classes = stage(classes, "shingle-classes")
+    standing = classes.where("class_id is not null")
 
     noted = rows.select(F.explode("noted").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
     listed = [r.s for r in noted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toLocalIterator()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(listed, np.int64).view(np.uint64)))
 
-    standing = classes.where("class_id is not null")
-    indexed = texts.join(standing.select(F.col("class_id").alias("doc_id"), "d1", "d2"), "doc_id")
-
     def index(c: list[list]) -> list[list]:
-        out: list[list] = [[], [], [], []]
-        for doc, d1, d2, text in zip(*c, strict=True):
+        out: list[list] = [[], [], [], [], [], []]
+        done = set()
+        for text in c[0]:
             found = shingler.of(text)
-            if _set_digest(found) != (d1, d2):
-                continue  # another row of this id
+            own = _set_digest(found)
+            if own in done or not len(found):
+                continue
+            done.add(own)
             rare, _, prefix = prefix_of(found, frequent.value, similar)
-            keys, places = _signed(rare[:prefix]).tolist(), list(range(min(prefix, len(rare))))
-            if len(rare) < prefix:  # place -1 marks a set that needs combinations
-                keys.append(d1)
-                places.append(-1)
-            for column, x in zip(out, (keys, [doc] * len(keys), [len(found)] * len(keys), places), strict=True):
+            keys, places = rare[:prefix], np.arange(min(prefix, len(rare)))
+            singles = len(keys)
+            if len(rare) < prefix:
+                more, of = combinations(found, frequent.value, similar)
+                keys, places = np.concatenate([keys, more]), np.concatenate([places, of])
+            n = len(keys)
+            for column, x in zip(out, (_signed(keys).tolist(), [own[0]] * n, [own[1]] * n, [len(found)] * n, places.tolist(), [i >= singles for i in range(n)]), strict=True):
                 column.extend(x)
         return out
 
-    entries = map_texts(indexed.select("doc_id", "d1", "d2", "text"), index, f"key long, doc {kind}, n int, place int")
-    # rare shingles: a key's documents are few, so they may meet in one task, where it may spill
-    counted = entries.withColumn("held", F.count(F.lit(1)).over(Window.partitionBy("key")))
-    kept = stage(counted.where("held > 1 or place < 0").drop("held"), "rare-shingles")
-    rare = kept.where("place >= 0")
-    reaching = kept.where("place < 0").select("doc").distinct()
-
-    involved = rare.select("doc").union(reaching).distinct().join(standing.select(F.col("class_id").alias("doc"), "d1", "d2"), "doc")
+    entries = map_texts(texts.select("text"), index, "key long, d1 long, d2 long, n int, place int, combined boolean")
+    # a rare shingle's documents are few and may meet in one task; combinations of frequent ones are spread
+    spread = F.when(F.col("combined"), F.pmod("d1", F.lit(256))).otherwise(F.lit(0).cast("long"))
+    together = Window.partitionBy("key", "spread")
+    counted = entries.withColumn("spread", spread).withColumn("least", F.min("d1").over(together)).withColumn("most", F.max("d1").over(together))
+    kept = stage(counted.where("combined or least <> most").drop("least", "most", "spread"), "shared-shingles")
+    # a combination may be held by any share of the documents: partial sums, then a join that can be split
+    pairs_of = kept.where("combined")
+    shared = pairs_of.groupBy("key").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most").select("key")
+    buckets = kept.where("not combined").select(F.xxhash64(F.lit(1), "key").alias("key"), "d1", "d2", "n", "place")
+    buckets = buckets.unionByName(pairs_of.join(shared, "key").select(F.xxhash64(F.lit(2), "key").alias("key"), "d1", "d2", "n", "place"))
+    buckets = buckets.join(standing.select("d1", "d2", F.col("class_id").alias("doc")), ["d1", "d2"]).select("key", "doc", "n", "place").distinct()
+    buckets = stage(buckets, "buckets")
 
     def arrays(c: list[list]) -> list[list]:
         out: list[list] = [[], []]
         for doc, d1, d2, text in zip(*c, strict=True):
             found = shingler.of(text)
-            if _set_digest(found) == (d1, d2):
+            if _set_digest(found) == (d1, d2):  # else another row of this id
                 out[0].append(doc)
                 out[1].append(_signed(found))
         return out
 
-    wanted = texts.join(involved.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "d1", "d2", "text")
-    held = stage(map_texts(wanted, arrays, f"doc {kind}, shingles array<long>").dropDuplicates(["doc"]), "shingle-arrays")
-
-    def combine(c: list[list]) -> list[list]:
-        out: list[list] = [[], [], [], []]
-        for doc, listed_shingles in zip(*c, strict=True):
-            found = np.array(listed_shingles, np.int64).view(np.uint64)
-            keys, places = combinations(found, frequent.value, similar)
-            for column, x in zip(out, (_signed(keys).tolist(), [doc] * len(keys), [len(found)] * len(keys), places.tolist()), strict=True):
-                column.extend(x)
-        return out
-
-    pairs_of = stage(map_texts(held.join(reaching, "doc", "left_semi").select("doc", "shingles"), combine, f"key long, doc {kind}, n int, place int").distinct(), "combinations")
-    # frequent shingles: a key may hold any share of the documents, so it is counted by partial sums first
-    shared = pairs_of.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least <> most").select("key")
-    buckets = rare.select(F.xxhash64(F.lit(1), "key").alias("key"), "doc", "n", "place")
-    buckets = buckets.unionByName(pairs_of.join(shared, "key").select(F.xxhash64(F.lit(2), "key").alias("key"), "doc", "n", "place"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """``a, b`` of the pairs that are links."""
-        both = pairs.join(held.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(100 * common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b")
-
-    possible = (
-        f"(100 + {similar}) * cast(least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 as bigint)"
-        f" >= {similar} * cast(a.n + b.n as bigint) and 100 * least(a.n, b.n) >= {similar} * greatest(a.n, b.n)"
-    )
-    links = spark.createDataFrame([], f"a {kind}, b {kind}")
+    sketches = standing.select(F.col("class_id").alias("doc"), "sketch")
+    sizes = f"100 * least(a.n, b.n) >= {similar} * greatest(a.n, b.n)"
+    places = f"(100 + {similar}) * cast(least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 as bigint) >= {similar} * cast(a.n + b.n as bigint)"
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    held = None
     joined = spark.createDataFrame([], f"node {kind}, component {kind}")
     for turn in range(STAR_ROUNDS + 1):
-        if buckets.limit(1).count() == 0:
-            break
         labelled = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-        if turn:
-            mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-            labelled = stage(labelled.join(mixed, "key", "left_semi"), "mixed-buckets")
+        mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        labelled = stage(labelled.join(mixed, "key", "left_semi"), "mixed-buckets")
         if turn < STAR_ROUNDS:
             order = F.struct(F.xxhash64("doc").alias("order"), "doc", "n", "place", "part")
-            pivots = labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*")
-            pairs = labelled.alias("a").join(pivots.alias("b"), "key").where(f"a.doc <> b.doc and a.part <> b.part and {possible}")
+            pivots = stage(labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*"), "pivots")
+            pairs = labelled.alias("a").join(pivots.alias("b"), "key").where(f"a.doc <> b.doc and a.part <> b.part and {sizes} and {places}")
             left = labelled.join(pivots.select("key", F.col("doc").alias("pivot")), "key").where("doc <> pivot").drop("pivot", "part")
         else:
-            pairs = labelled.alias("a").join(labelled.alias("b"), "key").where(f"a.part < b.part and {possible}")
-            left = None
-        pairs = pairs.select(F.least("a.doc", "b.doc").alias("a"), F.greatest("a.doc", "b.doc").alias("b")).distinct()
-        new = stage(verified(stage(pairs, "candidates")), "links")
-        links = links.unionByName(new)
-        joined = components(links)
-        if left is None:
-            break
-        buckets = stage(left, "buckets")
-
-    known = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
-    full = rows.select("doc_id", "n_shingles", "d1", "d2").join(known.select("n_shingles", "d1", "d2", "class_id", "component"), ["n_shingles", "d1", "d2"], "left")
+            pairs = labelled.alias("a").join(labelled.alias("b"), "key").where(f"a.part < b.part and {sizes} and {places}")
+        near = F.struct(F.col("a.doc").alias("doc"), F.col("a.n").alias("n")), F.struct(F.col("b.doc").alias("doc"), F.col("b.n").alias("n"))
+        pairs = pairs.select(F.least(*near).alias("l"), F.greatest(*near).alias("r")).distinct().select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n"))
+        pairs = pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("y")), "b")
+        # common <= (n - differ) / 2
+        pairs = stage(pairs.where((100 + similar) * (F.col("n") - differ) >= 2 * similar * F.col("n")).select("a", "b"), "candidates")
+        if pairs.limit(1).count():
+            needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+            needed = needed if held is None else needed.join(held, "doc", "left_anti")
+            needed = stage(needed.join(standing.select(F.col("class_id").alias("doc"), "d1", "d2"), "doc"), "needed")
+            wanted = texts.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "d1", "d2", "text")
+            more = stage(map_texts(wanted, arrays, f"doc {kind}, shingles array<long>"), "shingle-arrays")
+            held = more if held is None else held.unionByName(more)
+            both = pairs.join(held.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+            common = F.size(F.array_intersect("x", "y"))
+            links = both.where(100 * common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+            joined = components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if turn < STAR_ROUNDS:
+            buckets = stage(left, "buckets")
+            if buckets.limit(1).count() == 0:
+                break
+
+    known = classes.drop("sketch").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    full = rows.select("doc_id", "n_shingles", "d1", "d2").join(known, ["n_shingles", "d1", "d2"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
