@@ -16,8 +16,8 @@ WORDS, SIMILAR = 4, 85
 NOTED, FREQUENT, MOST_FREQUENT = 3, 32, 500_000
 #: Rounds in which each bucket is compared with one member only.
 STAR_ROUNDS = 2
-#: Bits of a set's sketch.
-SKETCH_BITS = 1024
+#: Least bits of a set's sketch.
+SKETCH_BITS = 256
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0xD6E8FEB86659FD93
@@ -78,13 +78,18 @@ class Shingler:
         return np.unique(_mixed(found))
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """For each of ``SKETCH_BITS`` residues, whether an odd number of shingles has it.
+def sketch_bits(n: int) -> int:
+    """Bits of the sketch that sets of about ``n`` shingles are compared by: enough to tell unlike sets apart."""
+    return max(SKETCH_BITS, 1 << size_class(n))
+
+
+def sketch(shingles: np.ndarray, bits: int) -> list[int]:
+    """For each residue of ``bits``, whether an odd number of shingles has it.
 
     Two sets differ in at least as many shingles as their sketches differ in bits, which bounds what they share.
     """
-    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+    odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64).tolist()
 
 
 def least_overlap(n: int, similar: int) -> int:
@@ -174,7 +179,9 @@ def ngram_links(
             found = shingler.of(text)
             d1, d2 = _set_digest(found)
             batch[d1, d2] = found  # copies are one set
-            for column, x in zip(out[1:5], (len(found), d1, d2, sketch(found).tolist()), strict=True):
+            n = len(found)  # a linked set may be smaller and of fewer bits
+            sketches = [{"bits": b, "sketch": sketch(found, b)} for b in sorted({sketch_bits(n), sketch_bits(least_overlap(n, similar))})] if n else []
+            for column, x in zip(out[1:5], (n, d1, d2, sketches), strict=True):
                 column.append(x)
         if batch:
             values, counts = np.unique(np.concatenate(list(batch.values())), return_counts=True)
@@ -183,8 +190,8 @@ def ngram_links(
         return out
 
     texts = whole_texts(docs, id_col, text_col)
-    rows = stage(map_texts(texts, sets, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketch array<long>, noted array<struct<s:long,n:long>>"), "shingle-sets")
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketch").alias("sketch"))
+    rows = stage(map_texts(texts, sets, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketches array<struct<bits:int,sketch:array<long>>>, noted array<struct<s:long,n:long>>"), "shingle-sets")
+    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketches").alias("sketches"))
     classes = stage(classes, "shingle-classes")
     standing = classes.where("class_id is not null")
 
@@ -235,10 +242,11 @@ def ngram_links(
                 out[1].append(_signed(found))
         return out
 
-    sketches = standing.select(F.col("class_id").alias("doc"), "sketch")
+    sketches = stage(standing.select(F.col("class_id").alias("doc"), F.explode("sketches").alias("s")).select("doc", "s.bits", "s.sketch"), "sketches")
     sizes = f"100 * least(a.n, b.n) >= {similar} * greatest(a.n, b.n)"
     places = f"(100 + {similar}) * cast(least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 as bigint) >= {similar} * cast(a.n + b.n as bigint)"
     differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    bits = F.expr(f"greatest({SKETCH_BITS}, shiftleft(1, length(bin(least(l.n, r.n))) - 1))")
     held = None
     joined = spark.createDataFrame([], f"node {kind}, component {kind}")
     for turn in range(STAR_ROUNDS + 1):
@@ -253,8 +261,9 @@ def ngram_links(
         else:
             pairs = labelled.alias("a").join(labelled.alias("b"), "key").where(f"a.part < b.part and {sizes} and {places}")
         near = F.struct(F.col("a.doc").alias("doc"), F.col("a.n").alias("n")), F.struct(F.col("b.doc").alias("doc"), F.col("b.n").alias("n"))
-        pairs = pairs.select(F.least(*near).alias("l"), F.greatest(*near).alias("r")).distinct().select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n"))
-        pairs = pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("y")), "b")
+        pairs = pairs.select(F.least(*near).alias("l"), F.greatest(*near).alias("r")).distinct().select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n"), bits.alias("bits"))
+        pairs = pairs.join(sketches.select(F.col("doc").alias("a"), "bits", F.col("sketch").alias("x")), ["a", "bits"])
+        pairs = pairs.join(sketches.select(F.col("doc").alias("b"), "bits", F.col("sketch").alias("y")), ["b", "bits"])
         # common <= (n - differ) / 2
         pairs = stage(pairs.where((100 + similar) * (F.col("n") - differ) >= 2 * similar * F.col("n")).select("a", "b"), "candidates")
         if pairs.limit(1).count():
@@ -273,7 +282,7 @@ def ngram_links(
             if buckets.limit(1).count() == 0:
                 break
 
-    known = classes.drop("sketch").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    known = classes.drop("sketches").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     full = rows.select("doc_id", "n_shingles", "d1", "d2").join(known, ["n_shingles", "d1", "d2"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
