@@ -27,17 +27,24 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
 
 
-def map_texts(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str) -> DataFrame:
-    """Apply ``rows`` to the columns of each Arrow batch, as Python lists; it returns the output columns."""
+def map_texts(df: DataFrame, rows: Callable[[list[list]], list[list]], schema: str, finish: Callable[[], list[list]] | None = None) -> DataFrame:
+    """Apply ``rows`` to the columns of each Arrow batch, as Python lists; it returns the output columns.
+
+    ``finish`` gives the columns of a last batch of each task, from what ``rows`` has gathered in it.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    def packed(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = rows([c.to_pylist() for c in batch.columns])
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, arrow, strict=True)], schema=arrow)
+            yield packed(rows([c.to_pylist() for c in batch.columns]))
+        if finish is not None:
+            yield packed(finish())
 
     return df.mapInArrow(run, schema)
 

@@ -11,11 +11,11 @@ from ebbmark.session import stage
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
-#: A shingle that so many documents of one batch share is noted; noted ones with such a total are frequent. Any
-#: choice gives the same links, only at another cost, so the list may be bounded: it is broadcast.
-NOTED, FREQUENT, MOST_FREQUENT = 3, 32, 500_000
+#: A shingle that so many of so many sets in a task share is noted; noted ones with such a total are frequent.
+#: Any choice gives the same links, only at another cost, so the list may be bounded: it is broadcast.
+NOTED, NOTED_OF, FREQUENT, MOST_FREQUENT = 3, 4000, 9, 500_000
 #: Rounds in which each bucket is compared with one member only.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 4
 #: Least bits of a set's sketch.
 SKETCH_BITS = 256
 
@@ -172,30 +172,42 @@ def ngram_links(
     kind = docs.schema[id_col].dataType.simpleString()
     shingler = Shingler(words)
 
+    gathered: dict[tuple[int, int], np.ndarray] = {}
+
+    def note() -> list[list]:
+        """One row without a document: the shingles that many of the gathered sets share."""
+        found = []
+        if gathered:
+            values, counts = np.unique(np.concatenate(list(gathered.values())), return_counts=True)
+            often = counts >= NOTED
+            found = [{"s": s, "n": n} for s, n in zip(_signed(values[often]).tolist(), counts[often].tolist(), strict=True)]
+            gathered.clear()
+        return [[None], [-1], [0], [0], [[]], [found]]
+
     def sets(c: list[list]) -> list[list]:
-        out: list[list] = [c[0], [], [], [], [], [[] for _ in c[0]]]
-        batch = {}
+        out: list[list] = [list(c[0]), [], [], [], [], [[] for _ in c[0]]]
         for text in c[1]:
             found = shingler.of(text)
             d1, d2 = _set_digest(found)
-            batch[d1, d2] = found  # copies are one set
+            gathered[d1, d2] = found  # copies are one set
             n = len(found)  # a linked set may be smaller and of fewer bits
             sketches = [{"bits": b, "sketch": sketch(found, b)} for b in sorted({sketch_bits(n), sketch_bits(least_overlap(n, similar))})] if n else []
             for column, x in zip(out[1:5], (n, d1, d2, sketches), strict=True):
                 column.append(x)
-        if batch:
-            values, counts = np.unique(np.concatenate(list(batch.values())), return_counts=True)
-            often = counts >= NOTED
-            out[5][0] = [{"s": s, "n": n} for s, n in zip(_signed(values[often]).tolist(), counts[often].tolist(), strict=True)]
+        if len(gathered) >= NOTED_OF:
+            for column, x in zip(out, note(), strict=True):
+                column += x
         return out
 
     texts = whole_texts(docs, id_col, text_col)
-    rows = stage(map_texts(texts, sets, f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketches array<struct<bits:int,sketch:array<long>>>, noted array<struct<s:long,n:long>>"), "shingle-sets")
+    schema = f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketches array<struct<bits:int,sketch:array<long>>>, noted array<struct<s:long,n:long>>"
+    measured = stage(map_texts(texts, sets, schema, note), "shingle-sets")
+    rows = measured.where("n_shingles >= 0")
     classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketches").alias("sketches"))
     classes = stage(classes, "shingle-classes")
     standing = classes.where("class_id is not null")
 
-    noted = rows.select(F.explode("noted").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
+    noted = measured.where("n_shingles < 0").select(F.explode("noted").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
     listed = [r.s for r in noted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toLocalIterator()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(listed, np.int64).view(np.uint64)))
 
