@@ -14,21 +14,25 @@ MONEY_PARTS = 10_000
 
 
 def money_parts(value: Column, name: str) -> list[Column]:
-    """Two whole-number sums that together are the exact sum of ``value`` to four decimals.
+    """Three sums that together are the sum of ``value``: whole units, ten-thousandths, and what is finer.
 
-    A sum of doubles depends on the order in which tasks finish; this one does not, so a retried
-    task cannot change a report. Whole units and parts are summed apart: bigint sums are far
-    cheaper than decimal ones, and neither overflows at any realistic volume.
+    A sum of doubles depends on the order in which tasks finish. Units and parts are whole numbers, so for
+    amounts of up to four decimals a retried task cannot change a report; the noise of the third sum lies far
+    below any rounding. What a double cannot tell from zero there counts as zero, and values beyond whole
+    numbers' range go to the third sum as they are.
     """
-    units = F.floor(value)
-    parts = F.floor((value - units) * MONEY_PARTS + 0.5)
-    return [F.sum(units).alias(f"{name}_units"), F.sum(parts).alias(f"{name}_parts")]
-
-
-def money_total(units: Column, parts: Column) -> Column:
-    """The two sums as one double, 0 where there were no values."""
-    exact = units.cast("decimal(20,0)") + parts.cast("decimal(20,0)") * F.lit(Decimal("0.0001"))
-    return F.coalesce(exact.cast("double"), F.lit(0.0))
+    whole = F.abs(value) < 2.0**52
+    units = F.when(whole, F.floor(value))
+    parts = F.when(whole, F.floor((value - units) * MONEY_PARTS + 0.5))
+    finer = value - units - parts.cast("double") / MONEY_PARTS
+    rest = F.when(~whole, value).when(F.abs(finer) > F.abs(value) * 2.0**-50, finer).otherwise(F.lit(0.0))
+    return [F.sum(units).alias(f"{name}_units"), F.sum(parts).alias(f"{name}_parts"), F.sum(rest).alias(f"{name}_rest")]
+
+
+def money_total(units: Column, parts: Column, rest: Column) -> Column:
+    """The three sums as one double, 0 where there were no values."""
+    exact = F.coalesce(units, F.lit(0)).cast("decimal(20,0)") + F.coalesce(parts, F.lit(0)).cast("decimal(20,0)") * F.lit(Decimal("0.0001"))
+    return exact.cast("double") + F.coalesce(rest, F.lit(0.0))
 
 
 def money_sum(value: Column) -> Column:

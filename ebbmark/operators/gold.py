@@ -96,7 +96,7 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
         return F.coalesce(F.sum(name), F.lit(0))
 
     def money(name: str) -> Column:
-        return money_total(F.sum(f"{name}_units"), F.sum(f"{name}_parts"))
+        return money_total(*(F.sum(f"{name}_{part}") for part in ("units", "parts", "rest")))
 
     scorecard = months.groupBy("category").agg(
         total("orders").alias("total_orders"),
@@ -111,7 +111,7 @@ def gold(signal: DataFrame | None) -> dict[str, DataFrame]:
         "order_month",
         "orders",
         F.coalesce("returns", F.lit(0)).alias("returns"),
-        money_total(F.col("net_revenue_units"), F.col("net_revenue_parts")).alias("net_revenue"),
+        money_total(*(F.col(f"net_revenue_{part}") for part in ("units", "parts", "rest"))).alias("net_revenue"),
     )
     return {"category_return_performance": _scorecard(scorecard, large), "monthly_category_trend": _trend(trend, large)}
 

@@ -7,7 +7,7 @@ expressions; no data row ever meets it.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,30 +67,6 @@ def rules_summary(rules: DataFrame) -> DataFrame:
     return rules.groupBy("target_table").agg(F.count(F.lit(1)).alias("rules"))
 
 
-def cover_business_keys(rules: list[Rule], columns: Mapping[str, list[str]]) -> list[Rule]:
-    """Append a passthrough rule for each business key of a table that no rule mentions."""
-    covered = {(rule.source_table, rule.source_column) for rule in rules}
-    missing = [
-        Rule("bronze", table, name, "silver", table, name, "passthrough", "business key kept")
-        for table, names in columns.items()
-        for name in names
-        if name.endswith("_id") and (table, name) not in covered
-    ]
-    return rules + missing
-
-
-def snap_table_names(rules: list[Rule], canonical: list[str]) -> list[Rule]:
-    """Replace each table name by the canonical name it is closest to, where one is close enough."""
-
-    def snapped(name: str | None) -> str | None:
-        return best_match(name, canonical) or name if name else name
-
-    return [
-        replace(rule, source_table=snapped(rule.source_table), target_table=snapped(rule.target_table))
-        for rule in rules
-    ]
-
-
 def rules_by_table(rules: list[Rule], tables: list[str]) -> tuple[dict[str, list[Rule]], list[str]]:
     """Rules grouped by the available table their target name means, and the names that mean none."""
     named: dict[str, list[Rule]] = {}

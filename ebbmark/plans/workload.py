@@ -27,8 +27,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
-# The last month of the test data holds one day; forecasts leave it out.
-FULL_MONTHS = "order_month < '2001-08-01'"
 RUN_TS = "2025-01-01T00:00:00+00:00"
 
 
@@ -103,7 +101,7 @@ FROM t
 _FITS = _TREND + f""",
 h AS (SELECT category, order_month, return_rate, CAST(net_revenue AS DOUBLE) AS net_revenue,
         row_number() OVER (PARTITION BY category ORDER BY order_month) - 1 AS t
-      FROM t WHERE {FULL_MONTHS} AND category IS NOT NULL),
+      FROM t WHERE category IS NOT NULL),
 f AS (SELECT category, count(*) AS n, regr_slope(return_rate, t) AS rs, regr_intercept(return_rate, t) AS ri,
         regr_slope(net_revenue, t) AS ns, regr_intercept(net_revenue, t) AS ni, max(order_month) AS last_month,
         arg_max(return_rate, t) AS last_rate, arg_max(net_revenue, t) AS last_revenue
@@ -130,7 +128,7 @@ def _trend(spark: SparkSession, folder: str) -> DataFrame:
 
 def _forecasts(spark: SparkSession, folder: str) -> DataFrame:
     # The month sums feed several branches of a forecast; written once, they are a few hundred rows.
-    return forecast.forecast(stage(_trend(spark, folder).where(FULL_MONTHS), "trend"))
+    return forecast.forecast(stage(_trend(spark, folder), "trend"))
 
 
 _round_scorecard = partial(
@@ -276,7 +274,7 @@ def channel_category(spark, folder):
 
 @query(f"""WITH {_FITS} SELECT category, step, order_month, round(return_rate, 6) AS return_rate, round(net_revenue, 2) AS net_revenue FROM g""")
 def forecast_long(spark, folder):
-    return rounded(forecast.forecast_long(_trend(spark, folder).where(FULL_MONTHS)), return_rate=6, net_revenue=2)
+    return rounded(forecast.forecast_long(_trend(spark, folder)), return_rate=6, net_revenue=2)
 
 
 @query(f"""WITH {_FITS} SELECT category,
@@ -328,7 +326,7 @@ def at_risk_charts(spark, folder):
   round(sum(return_rate), 6) AS rate_sum, CAST(sum(CAST(net_revenue AS DECIMAL(18,4))) AS DOUBLE) AS revenue_sum
 FROM h GROUP BY category""")
 def series_arrays(spark, folder):
-    arrays = forecast.series(_trend(spark, folder).where(FULL_MONTHS))
+    arrays = forecast.series(_trend(spark, folder))
     points = arrays.select(
         "category",
         F.size("history_months").cast("bigint").alias("months"),
@@ -819,7 +817,7 @@ def chart_dataset(spark, folder):
 
 @query(f"WITH {_AT_RISK} SELECT place, category, round(risk, 2) AS projected_revenue_at_risk FROM w WHERE place <= 3")
 def report_at_risk(spark, folder):
-    golds = gold.gold(_signals(spark, folder).where(FULL_MONTHS))
+    golds = gold.gold(_signals(spark, folder))
     return rounded(sqlapi.report(spark, golds)["at_risk"], projected_revenue_at_risk=2)
 
 

@@ -164,3 +164,13 @@ def test_null_tokens(spark):
     out = apply(column(spark, ["NA", "n/a", "", "x", "null", "None"]), casts.blank_null_tokens)
     assert out == [None, None, None, "x", None, None]
     assert isinstance(T.StringType(), T.DataType)
+
+
+def test_money_sums_keep_fine_and_huge_amounts(spark):
+    from ebbmark.functions.measures import money_sum
+
+    fine = spark.range(100_000).select(F.lit(0.00004).alias("v"))
+    assert abs(fine.agg(money_sum(F.col("v"))).first()[0] - 4.0) < 1e-9
+    mixed = spark.createDataFrame([(1e19,), (None,), (2.25,), (-0.00001,)], "v double")
+    assert mixed.agg(money_sum(F.col("v"))).first()[0] == 1e19
+    assert mixed.limit(0).agg(money_sum(F.col("v"))).first()[0] == 0.0
