@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbmark.session import stage
+from ebbmark.session import scratch_path
 
 #: Rows in one Arrow batch: a batch of the longest documents still fits a Python worker.
 BATCH_ROWS = 400
@@ -54,6 +54,32 @@ def digest(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit("second"), text)
 
 
+class Scratch:
+    """The written tables of one operator run, by label. A table that a newer one replaces is deleted.
+
+    A table is replaced only once the newer one is written, so a lost executor can still read what it needs.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: dict[str, str] = {}
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and return the scan of it; frames that read the label's table of before are void."""
+        path = scratch_path(self.spark, label)
+        df.write.parquet(path)
+        self.drop(label)
+        self.paths[label] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, label: str) -> None:
+        """Delete the table of ``label``, if there is one, and let Spark free the shuffles that nothing reads any more."""
+        if old := self.paths.pop(label, None):
+            folder = self.spark._jvm.org.apache.hadoop.fs.Path(old)
+            folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        self.spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """The smallest node that each node of ``edges(a, b)`` can reach: ``node, component``.
 
@@ -67,7 +93,8 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").cast(kind).alias("u"), F.least("a", "b").cast(kind).alias("v"))
         .distinct()
     )
-    pairs = stage(pairs, "edges")
+    scratch = Scratch(edges.sparkSession)
+    pairs = scratch.stage(pairs, "edges")
     before = None
     while True:
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -77,9 +104,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stage(large.distinct(), "large-star")
+        large = scratch.stage(large.distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        pairs = scratch.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     members = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbmark.llm.common import components, map_texts, whole_texts
-from ebbmark.session import stage
+from ebbmark.llm.common import Scratch, components, map_texts, whole_texts
 
 #: Words of a shingle, and the least similarity in hundredths.
 WORDS, SIMILAR = 4, 85
@@ -16,8 +15,10 @@ WORDS, SIMILAR = 4, 85
 NOTED, NOTED_OF, FREQUENT, MOST_FREQUENT = 3, 4000, 9, 500_000
 #: Rounds in which each bucket is compared with one member only.
 STAR_ROUNDS = 4
-#: Least bits of a set's sketch.
-SKETCH_BITS = 256
+#: Least bits of a set's sketch, and how many 64-bit words of it the last round carries along.
+SKETCH_BITS, SKETCH_WORDS = 256, 4
+#: So many of a set's least bucket keys go along in the last round, to name most pairs once.
+LOW_KEYS = 16
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0xD6E8FEB86659FD93
@@ -79,14 +80,15 @@ class Shingler:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of the sketch that sets of about ``n`` shingles are compared by: enough to tell unlike sets apart."""
-    return max(SKETCH_BITS, 1 << size_class(n))
+    """Bits of the sketch of ``n`` shingles: some more than shingles, so that few differences fall on one bit."""
+    return max(SKETCH_BITS, 4 << size_class(n))
 
 
 def sketch(shingles: np.ndarray, bits: int) -> list[int]:
     """For each residue of ``bits``, whether an odd number of shingles has it.
 
     Two sets differ in at least as many shingles as their sketches differ in bits, which bounds what they share.
+    The halves of a sketch, one xor the other, are the sketch of half as many bits.
     """
     odd = np.bincount((shingles >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64).tolist()
@@ -142,6 +144,23 @@ def combinations(shingles: np.ndarray, frequent: np.ndarray, similar: int) -> tu
     return np.concatenate(keys), np.concatenate(places)
 
 
+def _halved(sketch: str, other: str) -> Column:
+    """``sketch`` with as many words as ``other``, whose set is at most one size class smaller."""
+    half = F.size(other)
+    folded = F.zip_with(F.slice(sketch, 1, half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(sketch) > half, folded).otherwise(F.col(sketch))
+
+
+def _words(sketch: str) -> list[Column]:
+    """A sketch as ``SKETCH_WORDS`` plain columns."""
+
+    def word(at: int) -> Column:
+        own = F.filter(sketch, lambda x, i: i % SKETCH_WORDS == at)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda t, y: t.bitwiseXOR(y))
+
+    return [word(at).alias(f"w{at}") for at in range(SKETCH_WORDS)]
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -171,6 +190,7 @@ def ngram_links(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     shingler = Shingler(words)
+    scratch = Scratch(spark)
 
     gathered: dict[tuple[int, int], np.ndarray] = {}
 
@@ -190,9 +210,8 @@ def ngram_links(
             found = shingler.of(text)
             d1, d2 = _set_digest(found)
             gathered[d1, d2] = found  # copies are one set
-            n = len(found)  # a linked set may be smaller and of fewer bits
-            sketches = [{"bits": b, "sketch": sketch(found, b)} for b in sorted({sketch_bits(n), sketch_bits(least_overlap(n, similar))})] if n else []
-            for column, x in zip(out[1:5], (n, d1, d2, sketches), strict=True):
+            n = len(found)
+            for column, x in zip(out[1:5], (n, d1, d2, sketch(found, sketch_bits(n)) if n else []), strict=True):
                 column.append(x)
         if len(gathered) >= NOTED_OF:
             for column, x in zip(out, note(), strict=True):
@@ -200,11 +219,11 @@ def ngram_links(
         return out
 
     texts = whole_texts(docs, id_col, text_col)
-    schema = f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketches array<struct<bits:int,sketch:array<long>>>, noted array<struct<s:long,n:long>>"
-    measured = stage(map_texts(texts, sets, schema, note), "shingle-sets")
+    schema = f"doc_id {kind}, n_shingles long, d1 long, d2 long, sketch array<long>, noted array<struct<s:long,n:long>>"
+    measured = scratch.stage(map_texts(texts, sets, schema, note), "shingle-sets")
     rows = measured.where("n_shingles >= 0")
-    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketches").alias("sketches"))
-    classes = stage(classes, "shingle-classes")
+    classes = rows.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("class_id"), F.min("sketch").alias("sketch"))
+    classes = scratch.stage(classes, "shingle-classes")
     standing = classes.where("class_id is not null")
 
     noted = measured.where("n_shingles < 0").select(F.explode("noted").alias("x")).groupBy("x.s").agg(F.sum("x.n").alias("n")).where(F.col("n") >= FREQUENT)
@@ -236,14 +255,15 @@ def ngram_links(
     spread = F.when(F.col("combined"), F.pmod("d1", F.lit(256))).otherwise(F.lit(0).cast("long"))
     together = Window.partitionBy("key", "spread")
     counted = entries.withColumn("spread", spread).withColumn("least", F.min("d1").over(together)).withColumn("most", F.max("d1").over(together))
-    kept = stage(counted.where("combined or least <> most").drop("least", "most", "spread"), "shared-shingles")
+    kept = scratch.stage(counted.where("combined or least <> most").drop("least", "most", "spread"), "shared-shingles")
     # a combination may be held by any share of the documents: partial sums, then a join that can be split
     pairs_of = kept.where("combined")
     shared = pairs_of.groupBy("key").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most").select("key")
     buckets = kept.where("not combined").select(F.xxhash64(F.lit(1), "key").alias("key"), "d1", "d2", "n", "place")
     buckets = buckets.unionByName(pairs_of.join(shared, "key").select(F.xxhash64(F.lit(2), "key").alias("key"), "d1", "d2", "n", "place"))
     buckets = buckets.join(standing.select("d1", "d2", F.col("class_id").alias("doc")), ["d1", "d2"]).select("key", "doc", "n", "place").distinct()
-    buckets = stage(buckets, "buckets")
+    buckets = scratch.stage(buckets, "buckets")
+    scratch.drop("shared-shingles")
 
     def arrays(c: list[list]) -> list[list]:
         out: list[list] = [[], []]
@@ -254,47 +274,56 @@ def ngram_links(
                 out[1].append(_signed(found))
         return out
 
-    sketches = stage(standing.select(F.col("class_id").alias("doc"), F.explode("sketches").alias("s")).select("doc", "s.bits", "s.sketch"), "sketches")
+    sketches = standing.select(F.col("class_id").alias("doc"), "sketch")
     sizes = f"100 * least(a.n, b.n) >= {similar} * greatest(a.n, b.n)"
     places = f"(100 + {similar}) * cast(least(a.place, b.place) + 1 + least(a.n - a.place, b.n - b.place) - 1 as bigint) >= {similar} * cast(a.n + b.n as bigint)"
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    bits = F.expr(f"greatest({SKETCH_BITS}, shiftleft(1, length(bin(least(l.n, r.n))) - 1))")
+    differ = F.aggregate(F.zip_with(_halved("x", "y"), _halved("y", "x"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    # common <= (n - differ) / 2
+    sketch_bound = f"{100 + similar} * (a.n + b.n - differ) >= {2 * similar} * (a.n + b.n)"
+    words_differ = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(SKETCH_WORDS))
+    first_meeting = "coalesce(array_min(array_intersect(a.low, b.low)), a.key) = a.key"
     held = None
     joined = spark.createDataFrame([], f"node {kind}, component {kind}")
     for turn in range(STAR_ROUNDS + 1):
         labelled = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
         mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-        labelled = stage(labelled.join(mixed, "key", "left_semi"), "mixed-buckets")
+        labelled = scratch.stage(labelled.join(mixed, "key", "left_semi"), "mixed-buckets")
         if turn < STAR_ROUNDS:
             order = F.struct(F.xxhash64("doc").alias("order"), "doc", "n", "place", "part")
-            pivots = stage(labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*"), "pivots")
+            pivots = scratch.stage(labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*"), "pivots")
             pairs = labelled.alias("a").join(pivots.alias("b"), "key").where(f"a.doc <> b.doc and a.part <> b.part and {sizes} and {places}")
             left = labelled.join(pivots.select("key", F.col("doc").alias("pivot")), "key").where("doc <> pivot").drop("pivot", "part")
         else:
-            pairs = labelled.alias("a").join(labelled.alias("b"), "key").where(f"a.part < b.part and {sizes} and {places}")
+            # unlike pairs and most repeated ones go inside the join: a large bucket gives its likely pairs only
+            low = labelled.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOW_KEYS).alias("low"))
+            carried = scratch.stage(low.join(sketches, "doc").select("doc", "low", *_words("sketch")), "carried")
+            labelled = scratch.stage(labelled.join(carried, "doc"), "carrying-buckets")
+            likely = sketch_bound.replace("differ", f"({words_differ})")
+            pairs = labelled.alias("a").join(labelled.alias("b"), F.col("a.key") == F.col("b.key"))
+            pairs = pairs.where(f"a.part < b.part and {sizes} and {places} and {likely} and {first_meeting}")
         near = F.struct(F.col("a.doc").alias("doc"), F.col("a.n").alias("n")), F.struct(F.col("b.doc").alias("doc"), F.col("b.n").alias("n"))
-        pairs = pairs.select(F.least(*near).alias("l"), F.greatest(*near).alias("r")).distinct().select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n"), bits.alias("bits"))
-        pairs = pairs.join(sketches.select(F.col("doc").alias("a"), "bits", F.col("sketch").alias("x")), ["a", "bits"])
-        pairs = pairs.join(sketches.select(F.col("doc").alias("b"), "bits", F.col("sketch").alias("y")), ["b", "bits"])
-        # common <= (n - differ) / 2
-        pairs = stage(pairs.where((100 + similar) * (F.col("n") - differ) >= 2 * similar * F.col("n")).select("a", "b"), "candidates")
+        pairs = pairs.select(F.least(*near).alias("l"), F.greatest(*near).alias("r")).distinct().select(F.col("l.doc").alias("a"), F.col("r.doc").alias("b"), (F.col("l.n") + F.col("r.n")).cast("long").alias("n"))
+        pairs = pairs.join(sketches.select(F.col("doc").alias("a"), F.col("sketch").alias("x")), "a")
+        pairs = pairs.join(sketches.select(F.col("doc").alias("b"), F.col("sketch").alias("y")), "b")
+        pairs = pairs.withColumn("differ", differ).where(sketch_bound.replace("a.n + b.n", "n")).select("a", "b")
+        pairs = scratch.stage(pairs, "candidates")
         if pairs.limit(1).count():
             needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
             needed = needed if held is None else needed.join(held, "doc", "left_anti")
-            needed = stage(needed.join(standing.select(F.col("class_id").alias("doc"), "d1", "d2"), "doc"), "needed")
+            needed = scratch.stage(needed.join(standing.select(F.col("class_id").alias("doc"), "d1", "d2"), "doc"), "needed")
             wanted = texts.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "d1", "d2", "text")
-            more = stage(map_texts(wanted, arrays, f"doc {kind}, shingles array<long>"), "shingle-arrays")
+            more = scratch.stage(map_texts(wanted, arrays, f"doc {kind}, shingles array<long>"), f"shingle-arrays-{turn}")
             held = more if held is None else held.unionByName(more)
             both = pairs.join(held.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
             common = F.size(F.array_intersect("x", "y"))
             links = both.where(100 * common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
             joined = components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         if turn < STAR_ROUNDS:
-            buckets = stage(left, "buckets")
+            buckets = scratch.stage(left, "buckets")
             if buckets.limit(1).count() == 0:
                 break
 
-    known = classes.drop("sketches").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
+    known = classes.drop("sketch").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     full = rows.select("doc_id", "n_shingles", "d1", "d2").join(known, ["n_shingles", "d1", "d2"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
 
