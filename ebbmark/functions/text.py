@@ -76,7 +76,8 @@ def _widest(text: Column, opening: str, closing: str) -> Column:
 def extract_json(content: Column) -> Column:
     """``struct<json, method>``: the JSON a free text holds and where it was found, or NULL.
 
-    A place is looked at only if those before it held no JSON.
+    The JSON is the text's own characters: numbers keep all digits, keys their order. A place is looked at only
+    if those before it held no JSON.
     """
     text = strip(content)
     places = [
@@ -87,7 +88,7 @@ def extract_json(content: Column) -> Column:
     ]
 
     def attempt(method: str, candidate: Column) -> Column:
-        json = _let(candidate, lambda c: F.to_json(_one_json_value(c)))
+        json = _let(candidate, lambda c: F.when(_one_json_value(c).isNotNull(), c))
         return _let(json, lambda j: F.when(j.isNotNull(), F.struct(j.alias("json"), F.lit(method).alias("method"))))
 
     return F.coalesce(*[attempt(method, candidate) for method, candidate in places])

@@ -87,27 +87,38 @@ def column_means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """The most frequent value of each column, the smallest of equals.
+    """The most frequent value of each column, the smallest of equals; one pass for all columns.
 
     Counting per value spreads over all tasks; the built-in ``mode`` keeps every value in one.
     """
-    modes = {}
+    if not columns:
+        return {}
+    values = []
     for name in columns:
         value = col(name)
         if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)):
             value = F.when(~F.isnan(value), value)
-        counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).first()
-        modes[name] = top.v
-    return modes
+        values.append(value)
+
+    def cell(i: int) -> Column:
+        """The value of column ``i`` in its own field, so that columns of any types share a table."""
+        fields = [(values[j] if i == j else F.lit(None).cast(dtype_of(df, c))).alias(f"v{j}") for j, c in enumerate(columns)]
+        return F.when(values[i].isNotNull(), F.struct(F.lit(i).alias("i"), F.struct(*fields).alias("v")))
+
+    cells = df.select(F.explode(F.array_compact(F.array(*map(cell, range(len(columns)))))).alias("cell")).select("cell.*")
+    counts = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
+    found = {row.i: row.v[f"v{row.i}"] for row in tops}
+    return {name: found.get(i) for i, name in enumerate(columns)}
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
     """Exact medians without sorting and without holding the values of a column in one task.
 
-    Each pass splits the value range that still holds the middle rows into a fixed number of equal
-    buckets and counts them; the next pass looks only into the bucket of the middle row. A pass
-    hands the driver at most ``MEDIAN_BUCKETS`` small rows per column, whatever the data size.
+    Each pass splits the value range that still holds the middle rows into a fixed number of
+    buckets and counts them; the next pass looks only into the bucket of the middle row. Wide ranges
+    are split by magnitude, so values of any spread take a few passes. A pass hands the driver at
+    most ``MEDIAN_BUCKETS`` small rows per column, whatever the data size.
     """
     if not columns:
         return {}
@@ -140,11 +151,22 @@ def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]
     return medians
 
 
+def _magnitude(value: Column) -> Column:
+    """An order-keeping measure of a double that grows with the logarithm of its size, on both sides of 0.
+
+    1080 is above the logarithm's distance from 0 for the smallest double, 2^-1074.
+    """
+    size = F.log2(F.abs(value)) + 1080
+    return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * size)
+
+
 def _bucket_counts(df: DataFrame, value: dict[str, Column], ranges: dict) -> DataFrame:
     cells = []
     for c, (lo, hi, _, _) in ranges.items():
-        share = (value[c] / 2 - lo / 2) / (hi / 2 - lo / 2)  # halves: the full span may overflow
-        bucket = F.least(F.floor(share * MEDIAN_BUCKETS).cast("int"), F.lit(MEDIAN_BUCKETS - 1))
+        narrow = lo > 0 and hi / 16 <= lo or hi < 0 and lo / 16 >= hi
+        place, least, most = (f(x) for f in ((lambda x: x) if narrow else _magnitude,) for x in (value[c], F.lit(lo), F.lit(hi)))
+        bucket = F.floor((place - least) / (most - least) * MEDIAN_BUCKETS).cast("int")
+        bucket = F.least(F.greatest(bucket, F.lit(0)), F.lit(MEDIAN_BUCKETS - 1))
         cells.append(F.when(value[c].between(lo, hi), F.struct(F.lit(c).alias("column"), bucket.alias("bucket"), value[c].alias("v"))))
     flat = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
     return flat.groupBy("column", "bucket").agg(

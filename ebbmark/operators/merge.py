@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,16 +74,17 @@ def merge_left(
     return pick(joined, [*left.columns, *kept])
 
 
-def hot_keys(df: DataFrame, key: str, share: float = 0.001, most: int = 500) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = 0.001) -> list:
     """Keys that may fill at least ``share`` of the rows: one scan of one column, no shuffle.
 
-    A frequency sketch of fixed size finds them; at most 1/``share`` keys can qualify. A key named
+    A frequency sketch of fixed size finds them; it names up to 1/``share`` keys, more cannot qualify. A key named
     here without need costs a little, so the estimate need not be exact. NULL counts as a key.
     """
+    most = math.ceil(1 / share)
     found = df.select(col(key).alias("k")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col("k").isNull()).alias("nulls"),
-        F.expr(f"approx_top_k(k, {most}, 10000)").alias("top"),
+        F.expr(f"approx_top_k(k, {most}, {10 * most})").alias("top"),
     ).first()
     if not found.rows:
         return []

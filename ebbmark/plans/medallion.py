@@ -23,7 +23,10 @@ SIGNAL_TABLE = "order_line_signals"
 
 def read_landing(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Tables and their paths by the name each file stands for."""
-    sources = {table_name(path): path for path in paths}
+    sources: dict[str, str] = {}
+    for path in paths:
+        if (other := sources.setdefault(table_name(path), path)) != path:
+            raise ValueError(f"{other} and {path} would both be the table '{table_name(path)}'")
     return {name: read_any(spark, path) for name, path in sources.items()}, sources
 
 
@@ -41,7 +44,8 @@ def landing_to_gold(
 
     ``inputs`` are landing files or DataFrames by table name. With ``out`` each layer is written
     below ``out/run_id`` and the next layer reads what was written; the run log goes to
-    ``out/log``. Without it the layers stay lazy up to the staged keys and month sums.
+    ``out/log``. Without it the layers stay lazy up to the staged keys and month sums
+    and the search for hot keys.
     """
     if isinstance(inputs, Mapping):
         tables, sources = dict(inputs), None
@@ -58,7 +62,7 @@ def landing_to_gold(
 
     roles = resolve_roles(silvers)
     hot = {}
-    for role, keyword in (("returns", "order_id"), ("products", "product_id")) if out else ():
+    for role, keyword in (("returns", "order_id"), ("products", "product_id")):
         if role in roles:
             _, key = join_keys(roles["orders"].columns, roles[role].columns, keyword)
             hot[f"hot_{role}"] = hot_keys(roles[role], key)

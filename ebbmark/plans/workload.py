@@ -771,12 +771,23 @@ def json_lines_scan(spark, folder):
 
 @query("""SELECT user_id, list_record.event_id, list_record.value FROM (SELECT user_id, struct_pack(event_id := event_id, value := value) AS list_record FROM events)""")
 def json_envelope(spark, folder):
-    """Documents ``{"records": [...]}``, one file each, unwrapped to their records."""
+    """A folder of lists, of objects that wrap a list, and of JSON lines, one document a file, read back as records."""
     path = scratch_path(spark, "landing") + ".json"
     record = F.struct("user_id", "event_id", "value")
-    # One record per envelope: the number of rows per document stays bounded.
-    scan(spark, folder, "events").select(F.array(record).alias("records")).write.json(path)
-    return readers.unwrap_envelope(spark.read.json(path)).select("user_id", "event_id", "value")
+    # a thousand ids per document: the size of a document stays bounded
+    part = F.floor(F.col("event_id") / 1000).alias("part")
+    documents = scan(spark, folder, "events").groupBy(part).agg(F.collect_list(record).alias("records"))
+    shapes = [
+        F.to_json(F.struct("records")),
+        F.to_json("records"),
+        F.to_json(F.struct(F.col("records").alias("data"))),
+    ]
+    lines = F.array_join(F.transform("records", lambda r: F.to_json(r)), "\n")
+    value = F.when(F.col("part") % 4 == 3, lines)
+    for i, shape in enumerate(shapes):
+        value = value.when(F.col("part") % 4 == i, shape)
+    documents.select("part", value.alias("value")).write.partitionBy("part").text(path)
+    return readers.read_any(spark, path).select("user_id", "event_id", "value")
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS timestamp, event_type AS action, CAST(user_id AS VARCHAR) AS run_id

@@ -42,30 +42,79 @@ def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> D
     return infer_types(raw)
 
 
-def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """JSON records: a top-level list, an object that wraps the list, one object, or JSON lines.
+def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """JSON records: top-level lists, objects that wrap a list, single objects, or JSON lines.
 
-    A single document cannot be split, so large inputs should be many files or JSON lines.
+    Each file of a folder is read by its own shape; columns that a shape lacks are NULL, and a column whose
+    types do not go together becomes text. ``lines`` says that all files are JSON lines and saves the look at
+    them. A single document cannot be split, so large inputs should be many files or JSON lines.
     """
-    df = spark.read.json(path, multiLine=not lines, mode="FAILFAST")
-    if not lines and _starts_with_object(spark, path):
-        df = unwrap_envelope(df)
-    return flatten(df)
-
-
-def _starts_with_object(spark: SparkSession, path: str) -> bool:
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    return first is not None and first.value.lstrip("\ufeff \t").startswith("{")
-
-
-def unwrap_envelope(df: DataFrame) -> DataFrame:
-    """The records inside the first envelope field that is a list; else the rows as they are."""
-    for name in ENVELOPE_FIELDS:
-        if name in df.columns and isinstance(df.schema[name].dataType, T.ArrayType):
-            if not isinstance(df.schema[name].dataType.elementType, T.StructType):
-                raise ValueError(f"The list '{name}' does not hold records")
-            return df.select(F.inline(col(name)))
-    return df
+    if lines:
+        return flatten(spark.read.json(path, mode="FAILFAST"))
+    files = _files_by_shape(spark, path)
+    parts = []
+    if "lines" in files:
+        parts.append(spark.read.json(files["lines"], mode="FAILFAST"))
+    if "list" in files:
+        parts.append(spark.read.json(files["list"], multiLine=True, mode="FAILFAST"))
+    if "object" in files:
+        parts += unwrap_envelopes(spark.read.json(files["object"], multiLine=True, mode="FAILFAST"))
+    if not parts:  # nothing but blank files
+        return spark.read.json(path, multiLine=True, mode="FAILFAST")
+    return _stacked([flatten(part) for part in parts])
+
+
+def _files_by_shape(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of ``path`` that hold JSON lines, a list, or one object. Only file names reach the driver."""
+    file = F.col("_metadata.file_path").alias("file")
+    text = spark.read.text(path).where(F.trim("value") != "").select(file, F.try_parse_json("value").isNotNull().alias("whole"))
+    counts = text.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("wholes"))
+    counted = counts.select("file", ((F.col("n") > 1) & (F.col("n") == F.col("wholes"))).alias("lines")).collect()
+    files: dict[str, list[str]] = {}
+    if by_line := sorted(r.file for r in counted if r.lines):
+        files["lines"] = by_line
+    documents = [r.file for r in counted if not r.lines]
+    if documents:
+        start = F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^[\uFEFF\s]+", ""), 1, 1)
+        for row in spark.read.text(documents, wholetext=True).select(file, start.alias("start")).orderBy("file").collect():
+            files.setdefault("list" if row.start == "[" else "object", []).append(row.file)
+    return files
+
+
+def unwrap_envelopes(df: DataFrame) -> list[DataFrame]:
+    """For each row the records inside its first envelope field that is a list; rows without one as they are."""
+    types = {name: df.schema[name].dataType for name in ENVELOPE_FIELDS if name in df.columns}
+    lists = [name for name, kind in types.items() if isinstance(kind, T.ArrayType)]
+    parts, open_rows = [], df
+    for name in lists:
+        if not isinstance(types[name].elementType, T.StructType):
+            raise ValueError(f"The list '{name}' does not hold records")
+        parts.append(open_rows.where(col(name).isNotNull()).select(F.inline(col(name))))
+        open_rows = open_rows.where(col(name).isNull())
+    if not lists or not open_rows.isEmpty():
+        parts.append(open_rows.drop(*lists))
+    return parts
+
+
+def _stacked(parts: list[DataFrame]) -> DataFrame:
+    """All rows of ``parts``, columns by name."""
+    kinds: dict[str, set[T.DataType]] = {}
+    for part in parts:
+        for field in part.schema:
+            kinds.setdefault(field.name, set()).add(field.dataType)
+    mixed = {name for name, found in kinds.items() if len(found) > 1 and not all(isinstance(k, T.NumericType) for k in found)}
+
+    def plain(part: DataFrame) -> DataFrame:
+        def text(field: T.StructField) -> Column:
+            nested = isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType))
+            return (F.to_json(col(field.name)) if nested else col(field.name).cast("string")).alias(field.name)
+
+        return part.select(*[text(field) if field.name in mixed else col(field.name) for field in part.schema])
+
+    stacked, *others = [plain(part) for part in parts] if mixed else parts
+    for other in others:
+        stacked = stacked.unionByName(other, allowMissingColumns=True)
+    return stacked
 
 
 def flatten(df: DataFrame) -> DataFrame:

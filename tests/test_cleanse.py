@@ -120,3 +120,17 @@ def test_surrogate_key_with_several_files_per_task(spark):
 def test_drop_nulls_ignores_absent_columns(spark):
     df = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "a int, b int")
     assert rows(cleanse.drop_nulls(df, ["a", "zzz"])) == [(1, None), (3, 4)]
+
+
+def test_statistics_of_extreme_values(spark):
+    spread = [10.0**e for e in range(-300, 301)]
+    cases = [[0.0, 5e-324], [5e-324, 1e-323, 1.5e-323], spread, [-x for x in spread] + spread[:50], [1e300, *map(float, range(1001))], [-1.0, 0.0, 1.0, 1.0]]
+    for case in cases:
+        random.Random(1).shuffle(case)
+        got = cleanse.column_medians(spark.createDataFrame([(x,) for x in case], "x double"), ["x"])["x"]
+        assert got == statistics.median(case)
+
+
+def test_modes_of_columns_of_different_types(spark):
+    df = spark.createDataFrame([(1, "b", None), (2, "b", None), (2, "a", None), (1, "a", None)], "i int, s string, d date")
+    assert cleanse.column_modes(df, ["i", "s", "d"]) == {"i": 1, "s": "a", "d": None}

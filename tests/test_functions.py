@@ -174,3 +174,20 @@ def test_money_sums_keep_fine_and_huge_amounts(spark):
     mixed = spark.createDataFrame([(1e19,), (None,), (2.25,), (-0.00001,)], "v double")
     assert mixed.agg(money_sum(F.col("v"))).first()[0] == 1e19
     assert mixed.limit(0).agg(money_sum(F.col("v"))).first()[0] == 0.0
+
+
+def test_more_date_formats(spark):
+    wanted = {
+        "01/15/25": "2025-01-15 00:00:00", "01/15/75": "1975-01-15 00:00:00", "01/15/2025 3:04 PM": "2025-01-15 15:04:00",
+        "2025-01-15 03:04 PM": "2025-01-15 15:04:00", "15.01.2025": "2025-01-15 00:00:00", "Jan 15, 2025 10:00": "2025-01-15 10:00:00",
+        "2025.01.15": "2025-01-15 00:00:00", "20250115T101112": "2025-01-15 10:11:12", "2025-01": "2025-01-01 00:00:00",
+        "15-Jan-2025": "2025-01-15 00:00:00", "15-Foo-2025": None,
+    }
+    df = spark.createDataFrame([(k,) for k in wanted], "t string")
+    assert {r.t: r.got for r in df.select("t", dates.parse_timestamp(F.col("t")).cast("string").alias("got")).collect()} == wanted
+
+
+def test_found_json_keeps_its_characters(spark):
+    content = 'It is {"b": 12345678901234567890123456789012345678901234567890, "a": 1.50} now'
+    found = spark.createDataFrame([(content,)], "t string").select(text.extract_json(F.col("t")).alias("x")).first().x
+    assert found.json == content[6:-4]

@@ -79,6 +79,24 @@ def test_json_lines(spark, tmp_path):
     assert rows(readers.read_json(spark, str(path), lines=True)) == [(1,), (2,)]
 
 
+def test_json_folder_of_mixed_shapes_keeps_every_row(spark, tmp_path):
+    folder = tmp_path / "in.json"
+    folder.mkdir()
+    documents = {"a": {"data": [{"k": 1}, {"k": 2}]}, "b": [{"k": 3}, {"k": 4}], "c": {"records": [{"k": 5}, {"k": 6}]}, "d": {"k": 7}}
+    for name, document in documents.items():
+        (folder / f"{name}.json").write_text(json.dumps(document, indent=2))
+    (folder / "e.json").write_text('{"k": 8}\n{"k": 9, "more": "x"}\n')
+    df = readers.read_any(spark, str(folder))
+    assert sorted(r.k for r in df.collect()) == list(range(1, 10))
+    assert df.where("more = 'x'").count() == 1
+
+
+def test_json_lines_are_found(spark, tmp_path):
+    path = tmp_path / "lines.json"
+    path.write_text('{"a": 1}\n{"a": 2}\n{"a": 3}\n')
+    assert rows(readers.read_any(spark, str(path))) == [(1,), (2,), (3,)]
+
+
 def test_unknown_suffix_is_an_error(spark):
     with pytest.raises(ValueError, match=r"\.txt.*\.csv"):
         readers.read_any(spark, "/nowhere/a.txt")
