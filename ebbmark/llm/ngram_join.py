@@ -297,7 +297,8 @@ def ngram_links(
             # unlike pairs and most repeated ones go inside the join: a large bucket gives its likely pairs only
             low = labelled.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOW_KEYS).alias("low"))
             carried = scratch.stage(low.join(sketches, "doc").select("doc", "low", *_words("sketch")), "carried")
-            labelled = scratch.stage(labelled.join(carried, "doc"), "carrying-buckets")
+            # a large bucket's rows spread over all tasks where the other side is small enough to be sent to each
+            labelled = scratch.stage(labelled.join(carried, "doc").repartition(F.col("doc"), F.col("key")), "carrying-buckets")
             likely = sketch_bound.replace("differ", f"({words_differ})")
             pairs = labelled.alias("a").join(labelled.alias("b"), F.col("a.key") == F.col("b.key"))
             pairs = pairs.where(f"a.part < b.part and {sizes} and {places} and {likely} and {first_meeting}")
