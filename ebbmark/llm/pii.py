@@ -117,9 +117,9 @@ def _discovered(docs: DataFrame, text_col: str, spans: DataFrame) -> DataFrame:
     seeds = stage(seeds, "pii-seeds")
     cues = F.regexp_extract_all(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(ANY_CUE), 0)
     uses = docs.select(F.explode(cues).alias("found")).groupBy(cue_of(F.col("found")).alias("cue")).agg(F.count(F.lit(1)).alias("uses"))
-    # only a context of some seed or word can matter
+    # only a context of some seed or word can matter; a semi join would move below the counting and shuffle every word
     held = seeds.select("cue").union(words.select("cue")).distinct()
-    uses = stage(uses.join(held, "cue", "left_semi"), "pii-contexts")
+    uses = stage(uses.join(held, "cue"), "pii-contexts")
     instances = stage(words.groupBy("cue", "value").agg(F.count(F.lit(1)).alias("n")), "pii-instances")
     sure, before = None, -1
     for _ in range(ROUNDS):
