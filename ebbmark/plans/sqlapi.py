@@ -66,11 +66,11 @@ def chart_data(spark: SparkSession, sql: str, x: str, y: str, chart_type: str |
     try:
         result = query(spark, sql)
     except PySparkException as error:
-        problem = f"Chart '{title}' failed: {error}"
+        problem = f"failed, as the query for '{title}' cannot run: {error}"
     else:
         if x in result.columns and y in result.columns:
             return result.select(*shaped(F.lit("ok"), col(x), col(y)))
-        problem = f"Chart '{title}' skipped: columns '{x}'/'{y}' not in query result"
+        problem = f"skipped, as the query for '{title}' does not give both {x} and {y}"
     none = F.lit(None).cast("string")
     return spark.range(1).select(*shaped(F.lit(problem), none, none))
 
