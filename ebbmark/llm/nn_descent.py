@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ebbmark.session import stage
+from ebbmark.llm.common import Scratch
 
 #: Neighbours of a node in the graph, and how many nodes that name it are looked at as well.
-DEGREE, REVERSE = 16, 12
-#: First graph: so many orders of the nodes, each by the nearest of so many sampled centres, cut into blocks.
-ORDERS, CENTRES, BLOCK = 4, 64, 192
-DESCENTS = 2
-#: Search: nodes kept per query, nodes expanded per query and round, most rounds.
-BEAM, EXPAND, ROUNDS = 96, 12, 8
+DEGREE, REVERSE = 32, 24
+#: First graph: so many orders of the nodes in each of two turns, each by the nearest of so many sampled centres, cut into blocks.
+ORDERS, CENTRES, BLOCK = 8, 64, 1024
+#: The descent ends with the round that changes a smaller share of the edges.
+FEW_CHANGED = 0.01
+#: Search: nodes kept per query, and nodes expanded per query and round.
+BEAM, EXPAND = 128, 64
 NEAREST = 20
 
 _NODES = "node long, vector array<float>"
@@ -51,32 +53,57 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _best_pairs(ids: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a square score matrix its best others."""
+def _better_pairs(ids: np.ndarray, scores: np.ndarray, floors: np.ndarray, fresh: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a square score matrix its best others above the row's floor, ``DEGREE`` at most.
+
+    With ``fresh``, only pairs with a fresh member: the others have met before.
+    """
     np.fill_diagonal(scores, -np.inf)
-    most = min(most, len(ids) - 1)
+    if fresh is not None:
+        scores[np.ix_(~fresh, ~fresh)] = -np.inf
+    most = min(DEGREE, len(ids) - 1)
     if most < 1:
         return ids[:0], ids[:0], scores[0, :0]
     best = np.argpartition(-scores, most - 1, axis=1)[:, :most]
-    return np.repeat(ids, most), ids[best.ravel()], np.take_along_axis(scores, best, 1).ravel()
+    found = np.take_along_axis(scores, best, 1)
+    row, column = np.nonzero(found > floors[:, None])
+    return ids[row], ids[best[row, column]], found[row, column]
+
+
+def _with_floors(nodes: DataFrame, graph: DataFrame | None) -> DataFrame:
+    """The nodes, each with the score that a new neighbour must beat."""
+    least = F.lit(float("-inf")).cast("float")
+    if graph is None:
+        return nodes.withColumn("floor", least)
+    full = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= DEGREE, F.min("score")).alias("floor"))
+    return nodes.join(full, "node", "left").withColumn("floor", F.coalesce("floor", least))
 
 
-def _first_graph(nodes: DataFrame, seed: int) -> DataFrame:
+def _merged(found: DataFrame, graph: DataFrame | None) -> DataFrame:
+    both = found if graph is None else found.unionByName(graph)
+    return _best(both.groupBy("node", "other").agg(F.max("score").alias("score")), DEGREE)
+
+
+def _first_graph(nodes: DataFrame, turn: int, tasks: int) -> DataFrame:
     """Neighbours within blocks of nodes that share a nearest centre, in the order of their score with it.
 
-    The centres are a bounded sample; the order is a range partition, so a crowded centre spreads over tasks.
+    ``nodes`` have floors. The centres of all orders of a turn are a bounded sample; the orders are one range
+    partition, so a crowded centre spreads over tasks.
     """
-    sample = [r.vector for r in nodes.orderBy(F.xxhash64(F.lit(seed), "node"), "node").limit(CENTRES).collect()]
+    sample = [r.vector for r in nodes.orderBy(F.xxhash64(F.lit(turn), "node"), "node").limit(ORDERS * CENTRES).select("vector").collect()]
     if not sample:
         return nodes.sparkSession.createDataFrame([], _EDGES)
-    centres = np.array(sample, np.float32)
-    placed_schema, edge_schema = _arrow(_NODES + ", centre int, near float"), _arrow(_EDGES)
+    centres = [np.array(sample[i::ORDERS], np.float32) for i in range(ORDERS) if sample[i::ORDERS]]
+    placed_kind = _NODES + ", floor float, order int, centre int, near float"
+    placed_schema, edge_schema = _arrow(placed_kind), _arrow(_EDGES)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = _matrix(batch.column(1)) @ centres.T
-            nearest = scores.argmax(1)
-            yield _rows(placed_schema, batch.column(0), batch.column(1), nearest.astype(np.int32), scores[np.arange(len(nearest)), nearest])
+            x = _matrix(batch.column(1))
+            for order, group in enumerate(centres):
+                scores = x @ group.T
+                nearest = scores.argmax(1)
+                yield _rows(placed_schema, *batch.columns, np.full(len(x), order, np.int32), nearest.astype(np.int32), scores[np.arange(len(x)), nearest])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -85,7 +112,9 @@ def _first_graph(nodes: DataFrame, seed: int) -> DataFrame:
         def joined(parts):
             rows = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
             ids, x = rows.column(0).to_numpy(), _matrix(rows.column(1))
-            return _rows(edge_schema, *_best_pairs(ids, x @ x.T, DEGREE))
+            ids, at = np.unique(ids, return_index=True)  # where two orders meet, a node may stand twice
+            x = x[at]
+            return _rows(edge_schema, *_better_pairs(ids, x @ x.T, rows.column(2).to_numpy()[at]))
 
         for batch in batches:
             at = 0
@@ -100,21 +129,19 @@ def _first_graph(nodes: DataFrame, seed: int) -> DataFrame:
         if held:
             yield joined(held)
 
-    placed = nodes.mapInArrow(place, _NODES + ", centre int, near float")
-    ordered = placed.repartitionByRange("centre", "near", "node").sortWithinPartitions("centre", "near", "node")
-    return ordered.select("node", "vector").mapInArrow(blocks, _EDGES)
+    placed = nodes.select("node", "vector", "floor").mapInArrow(place, placed_kind)
+    ordered = placed.repartitionByRange(tasks, "order", "centre", "near", "node").sortWithinPartitions("order", "centre", "near", "node")
+    return ordered.select("node", "vector", "floor").mapInArrow(blocks, _EDGES)
 
 
-def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
-    """One round: nodes that share a neighbour are compared, and each keeps its best.
+def _descend(nodes: DataFrame, around: DataFrame, tasks: int) -> DataFrame:
+    """Edges that beat the floors, from comparing the nodes of each list ``around`` (node, other, fresh).
 
-    Around each node stand its neighbours and the best of the nodes that name it. Both lists are bounded, so a
-    node that very many name is one short list; further ones still reach it by their own lists.
+    Only lists with a fresh member are read, and only pairs with one compared.
     """
-    named = _best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE)
-    itself = nodes.select("node", F.col("node").alias("other"))
-    around = graph.select("node", "other").union(named.select("node", "other")).union(itself).distinct()
-    lists = around.withColumnRenamed("node", "centre").join(nodes.withColumnRenamed("node", "other"), "other").select("centre", "other", "vector")
+    active = around.where("fresh").select("node").distinct()
+    listed = around.join(active, "node", "left_semi").withColumnRenamed("node", "centre")
+    lists = listed.join(nodes.withColumnRenamed("node", "other"), "other").select("centre", "other", "vector", "floor", "fresh")
     edge_schema = _arrow(_EDGES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +149,11 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
 
         def groups(rows: pa.RecordBatch) -> pa.RecordBatch:
             centre, ids, x = rows.column(0).to_numpy(), rows.column(1).to_numpy(), _matrix(rows.column(2))
+            floors, fresh = rows.column(3).to_numpy(), rows.column(4).to_numpy(zero_copy_only=False)
             ends = np.flatnonzero(np.append(centre[1:] != centre[:-1], True)) + 1
             out, start = [], 0
             for end in ends:
-                out.append(_best_pairs(ids[start:end], x[start:end] @ x[start:end].T, DEGREE))
+                out.append(_better_pairs(ids[start:end], x[start:end] @ x[start:end].T, floors[start:end], fresh[start:end]))
                 start = end
             return _rows(edge_schema, *(np.concatenate(c) for c in zip(*out, strict=True)))
 
@@ -141,20 +169,42 @@ def _descend(nodes: DataFrame, graph: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield groups(rest.combine_chunks().to_batches()[0])
 
-    met = lists.repartition("centre").sortWithinPartitions("centre").mapInArrow(compare, _EDGES)
-    return _best(met.unionByName(graph).groupBy("node", "other").agg(F.max("score").alias("score")), DEGREE)
+    return lists.repartition(tasks, "centre").sortWithinPartitions("centre").mapInArrow(compare, _EDGES)
+
 
+def _named(graph: DataFrame) -> DataFrame:
+    """For each node the best of the nodes that name it: a bounded list, also of a node that very many name."""
+    return _best(graph.select(F.col("other").alias("node"), F.col("node").alias("other"), "score"), REVERSE)
 
-def neighbour_graph(nodes: DataFrame) -> DataFrame:
-    """``node, other, score``: about the ``DEGREE`` nearest others of each of the distinct vectors ``nodes``."""
-    found = None
-    for seed in range(ORDERS):
-        part = _first_graph(nodes, seed)
-        found = part if found is None else found.unionByName(part)
-    graph = stage(_best(found.groupBy("node", "other").agg(F.max("score").alias("score")), DEGREE), "graph")
-    for _ in range(DESCENTS):
-        graph = stage(_descend(nodes, graph), "graph")
-    return graph
+
+def neighbour_graph(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``node, other, score``: about the ``DEGREE`` nearest others of each of the distinct vectors ``nodes``.
+
+    Around each node stand its neighbours, the best of the nodes that name it, and itself; nodes that share
+    such a list are compared, and each keeps its best. This goes on until a round changes few edges.
+    """
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graph = scratch.stage(_merged(_first_graph(_with_floors(nodes, None), 0, tasks), None), "graph-0")
+    graph = scratch.stage(_merged(_first_graph(scratch.stage(_with_floors(nodes, graph), "floors"), 1, tasks), graph), "graph-1")
+    scratch.drop("graph-0")
+    before, turn = None, 1
+    while True:
+        itself = nodes.select("node", F.col("node").alias("other"))
+        around = graph.select("node", "other").union(_named(graph).select("node", "other")).union(itself).distinct()
+        if before is None:
+            around = around.withColumn("fresh", F.lit(True))
+        else:
+            met = before.select("node", "other").withColumn("met", F.lit(True))
+            around = around.join(met, ["node", "other"], "left").select("node", "other", F.col("met").isNull().alias("fresh"))
+        turn += 1
+        around = scratch.stage(around, f"around-{turn % 2}")
+        floors = scratch.stage(_with_floors(nodes, graph), "floors")
+        newer = scratch.stage(_merged(_descend(floors, around, tasks), graph), f"graph-{turn % 2}")
+        changed = newer.join(graph.select("node", "other"), ["node", "other"], "left_anti").count()
+        few = changed <= FEW_CHANGED * newer.count()
+        graph, before = newer, around
+        if few:
+            return graph
 
 
 def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -163,8 +213,7 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
     Every row is a candidate but the query's own. Equal vectors are one node of the graph, and each stands for
     its smallest ids, as many as a result can need. Inner products become distances by one more component,
     which gives every vector the length of the longest, so the graph suits vectors of any length. A search
-    begins at the query's own node and expands the best nodes found, until none of the best is new or the
-    rounds end. Rows whose vector is null, zero or holds null or non-finite components take no part, nor do
+    begins at the query's own node and expands the best nodes found, until all of the best are expanded. Rows whose vector is null, zero or holds null or non-finite components take no part, nor do
     null ids; ties go to smaller ids; equal rows count each; an empty table gives no rows. All vectors have one
     length. If the graph search finds fewer than ``most`` for a query, those are returned.
     """
@@ -172,34 +221,52 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("vector")).where(f"id is not null and {usable('vector')}")
     alike = Window.partitionBy("vector").orderBy("id")
     members = rows.withColumns({"at": F.row_number().over(alike), "node": F.first("id").over(alike.rowsBetween(Window.unboundedPreceding, Window.currentRow))})
-    members = stage(members.where(F.col("at") <= most + 1).select("node", "id", "at", "vector"), "members")
+    scratch = Scratch(spark)
+    members = scratch.stage(members.where(F.col("at") <= most + 1).select("node", "id", "at", "vector"), "members")
     originals = members.where("at = 1").select("node", "vector")
     square = F.aggregate("vector", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
     longest = originals.agg(F.max(square)).first()[0]
     if longest is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     extra = F.sqrt(F.greatest(F.lit(longest) - square, F.lit(0.0))).cast("float")
-    nodes = stage(originals.select("node", F.concat("vector", F.array(extra)).alias("vector")).repartition("node"), "nodes")
-    graph = stage(neighbour_graph(nodes).groupBy("node").agg(F.collect_list("other").alias("others")), "graph-lists")
+    nodes = scratch.stage(originals.select("node", F.concat("vector", F.array(extra)).alias("vector")).repartition("node"), "nodes")
+    links = scratch.stage(neighbour_graph(nodes, scratch).select("node", "other"), "links")
+    lists = scratch.stage(links.groupBy("node").agg(F.collect_list("other").alias("others")), "lists")
+    for label in ("graph-0", "graph-1", "around-0", "around-1", "floors", "links"):
+        scratch.drop(label)
 
     asked = rows.where(queries).select(F.col("id").alias("query_id"), "vector")
     asked = asked.join(originals, "vector").select("query_id", "node")
-    asking = stage(asked.select(F.col("node").alias("query")).distinct().join(originals.withColumnRenamed("node", "query"), "query"), "queries")
+    asking = scratch.stage(asked.select(F.col("node").alias("query")).distinct().join(originals.withColumnRenamed("node", "query"), "query"), "queries")
     beam = asking.select("query", F.col("query").alias("node"), F.lit(float("inf")).cast("float").alias("score"), F.lit(False).alias("seen"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
-    for _ in range(ROUNDS):
+    kept, turn = max(BEAM, 2 * most), 0
+    # a node is scored once per query, also if it does not stay among the best
+    scored_once: list[DataFrame] = [beam.select("query", "node")]
+    both = _arrow("query long, node long, score float, seen boolean")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, q = (_matrix(batch.column(i)).astype(np.float64) for i in (2, 3))
+            yield _rows(both, batch.column(0), batch.column(1), np.einsum("ij,ij->i", v, q).astype(np.float32), np.zeros(len(batch), bool))
+
+    while True:
         fresh = beam.where("not seen").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= EXPAND).select("query", "node")
-        fresh = stage(fresh, "fresh")
+        fresh = scratch.stage(fresh, "fresh")
         if fresh.limit(1).count() == 0:
             break
-        reached = fresh.join(graph, "node").select("query", F.explode("others").alias("node")).distinct().join(beam.select("query", "node"), ["query", "node"], "left_anti")
+        reached = fresh.join(lists, "node").select("query", F.explode("others").alias("node")).distinct()
+        reached = reached.join(reduce(DataFrame.unionByName, scored_once), ["query", "node"], "left_anti")
+        reached = scratch.stage(reached, f"reached-{turn}")
+        scored_once.append(reached)
         scored = reached.join(originals.withColumnRenamed("vector", "v"), "node").join(asking.withColumnRenamed("vector", "q"), "query")
-        scored = scored.select("query", "node", product.cast("float").alias("score"), F.lit(False).alias("seen"))
+        scored = scored.select("query", "node", "v", "q").mapInArrow(score, "query long, node long, score float, seen boolean")
         marked = beam.join(fresh.withColumn("now", F.lit(True)), ["query", "node"], "left")
         marked = marked.select("query", "node", "score", (F.col("seen") | F.coalesce("now", F.lit(False))).alias("seen"))
-        ranked = marked.unionByName(scored).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= BEAM)
-        beam = stage(ranked.drop("turn"), "beam")
+        ranked = marked.unionByName(scored).withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= kept)
+        turn += 1
+        beam = scratch.stage(ranked.drop("turn"), f"beam-{turn % 2}")
 
     own = asked.join(asking, F.col("node") == F.col("query")).select("query_id", "query", F.col("vector").alias("q"))
     expanded = beam.select("query", "node").join(members.select("node", "id", F.col("vector").alias("v")), "node")

@@ -345,6 +345,25 @@ def test_nearest_recall(spark):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def _recall(rows, found):
+    """Share of the 20 best others of each query that are found."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+    hits = 0
+    for q in found:
+        scores = x @ x[ids == q][0]
+        scores[ids == q] = -np.inf
+        hits += len(set(ids[np.argsort(-scores)[:20]].tolist()) & set(found[q]))
+    return hits / 20 / len(found)
+
+
+def test_nearest_recall_larger(spark):
+    table = common.table(spark, "/root/testdata/check_s", "embeddings")
+    got = defaultdict(list)
+    for r in nn_descent.op9(spark, table).collect():
+        got[r.query_id].append(r.vec_id)
+    assert _recall([tuple(r) for r in table.select("vec_id", "embedding").collect()], got) >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).tolist(), 1) for i in range(1, 60)]
