@@ -20,6 +20,8 @@ ORDERS, CENTRES, BLOCK = 8, 64, 1024
 FEW_CHANGED = 0.01
 #: Search: nodes kept per query, and nodes expanded per query and round.
 BEAM, EXPAND = 128, 64
+#: Nodes from all over the graph where each search begins as well.
+ENTRIES = 64
 NEAREST = 20
 
 _NODES = "node long, vector array<float>"
@@ -213,9 +215,11 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
     Every row is a candidate but the query's own. Equal vectors are one node of the graph, and each stands for
     its smallest ids, as many as a result can need. Inner products become distances by one more component,
     which gives every vector the length of the longest, so the graph suits vectors of any length. A search
-    begins at the query's own node and expands the best nodes found, until all of the best are expanded. Rows whose vector is null, zero or holds null or non-finite components take no part, nor do
+    begins at the query's own node and at nodes sampled from all, and expands the best nodes found, along edges of
+    both directions, until all of the best are expanded. So a closed group of near copies does not hold it, and a
+    query has fewer than ``most`` rows only if there are fewer candidates. Rows whose vector is null, zero or holds null or non-finite components take no part, nor do
     null ids; ties go to smaller ids; equal rows count each; an empty table gives no rows. All vectors have one
-    length. If the graph search finds fewer than ``most`` for a query, those are returned.
+    length.
     """
     spark = vectors.sparkSession
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<float>").alias("vector")).where(f"id is not null and {usable('vector')}")
@@ -230,7 +234,8 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     extra = F.sqrt(F.greatest(F.lit(longest) - square, F.lit(0.0))).cast("float")
     nodes = scratch.stage(originals.select("node", F.concat("vector", F.array(extra)).alias("vector")).repartition("node"), "nodes")
-    links = scratch.stage(neighbour_graph(nodes, scratch).select("node", "other"), "links")
+    graph = neighbour_graph(nodes, scratch)
+    links = scratch.stage(graph.select("node", "other").union(_named(graph).select("node", "other")).distinct(), "links")
     lists = scratch.stage(links.groupBy("node").agg(F.collect_list("other").alias("others")), "lists")
     for label in ("graph-0", "graph-1", "around-0", "around-1", "floors", "links"):
         scratch.drop(label)
@@ -251,12 +256,16 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
             v, q = (_matrix(batch.column(i)).astype(np.float64) for i in (2, 3))
             yield _rows(both, batch.column(0), batch.column(1), np.einsum("ij,ij->i", v, q).astype(np.float32), np.zeros(len(batch), bool))
 
+    # so many entries fill a result by themselves
+    entries = nodes.select("node").orderBy(F.xxhash64(F.lit("entry"), "node"), "node").limit(max(ENTRIES, most + 1))
+    entries = scratch.stage(asking.select("query").crossJoin(F.broadcast(entries)), "entries")
     while True:
         fresh = beam.where("not seen").withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= EXPAND).select("query", "node")
         fresh = scratch.stage(fresh, "fresh")
         if fresh.limit(1).count() == 0:
             break
-        reached = fresh.join(lists, "node").select("query", F.explode("others").alias("node")).distinct()
+        reached = fresh.join(lists, "node").select("query", F.explode("others").alias("node"))
+        reached = (reached if turn else reached.unionByName(entries)).distinct()
         reached = reached.join(reduce(DataFrame.unionByName, scored_once), ["query", "node"], "left_anti")
         reached = scratch.stage(reached, f"reached-{turn}")
         scored_once.append(reached)

@@ -364,6 +364,20 @@ def test_nearest_recall_larger(spark):
     assert _recall([tuple(r) for r in table.select("vec_id", "embedding").collect()], got) >= 0.9
 
 
+def test_nearest_leaves_closed_groups(spark):
+    """Groups of 18 and of 35 near copies: lists of neighbours that stay inside do not end the search."""
+    rng = np.random.default_rng(8)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(600, 8)).tolist(), 1000)]
+    for g, size in ((1, 18), (2, 18), (3, 35)):
+        centre = rng.normal(size=8)
+        rows += [(20 * g + 1000 * g + 5000 + k, (centre + rng.normal(size=8) * 1e-4).tolist()) for k in range(size)]
+    got = defaultdict(list)
+    for r in nn_descent.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "id % 20 = 0", most=40).collect():
+        got[r.query_id].append(r.vec_id)
+    assert set(got) == {i for i, _ in rows if i % 20 == 0} and all(len(f) == 40 for f in got.values())
+    assert _recall(rows, got) >= 0.9
+
+
 def test_nearest_odd_vectors(spark):
     rng = np.random.default_rng(6)
     rows = [(i, rng.normal(size=4).tolist(), 1) for i in range(1, 60)]
