@@ -1,4 +1,4 @@
-"""Substring dedup: lines and their sentences are hashed, and only the earliest occurrence of each stays."""
+"""Substring dedup: lines, paragraphs and their sentences are hashed, and only the earliest occurrence of each stays."""
 
 from __future__ import annotations
 
@@ -9,33 +9,69 @@ from pyspark.sql import functions as F
 
 from ebbmark.llm.common import map_texts, whole_texts
 
-#: Units with fewer words are too short to be a copied passage.
-LEAST_WORDS = 5
-#: A sentence of a line ends behind closing punctuation and the space after it.
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+#: Units with fewer words and fewer characters are too short to be a copied passage; they count with what follows them.
+LEAST_WORDS, LEAST_CHARS = 5, 30
+#: A sentence ends behind closing punctuation and the space after it, or behind closing punctuation of full width.
+_SENTENCE_END = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
+_BLANK_LINES = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+
+
+def _pieces(text: str, start: int, end: int, between: re.Pattern) -> list[tuple[int, int]]:
+    """The non-empty pieces of a stretch of a text."""
+    found, at = [], start
+    for m in between.finditer(text, start, end):
+        found.append((at, m.start()))
+        at = m.end()
+    return [(a, b) for a, b in [*found, (at, end)] if text[a:b].strip()]
 
 
 def units(text: str) -> list[tuple[int, int]]:
-    """Start and end of the lines of a text, and of the sentences of lines that have several."""
-    found, at = [], 0
+    """Start and end of the lines of a text and of their sentences, of its paragraphs and of their sentences.
+
+    A line or sentence that is too short makes a unit with as many of its followers as it needs.
+    """
+    found: dict[tuple[int, int], None] = {}
+    lines, at = [], 0
     for line in text.split("\n"):
-        end = at + len(line)
         if line:
-            found.append((at, end))
-            last = 0
-            for m in _SENTENCE_END.finditer(line):
-                found.append((at + last, at + m.start()))
-                last = m.end()
-            if last:
-                found.append((at + last, end))
-        at = end + 1
-    return found
+            found[at, at + len(line)] = None
+        if line.strip():
+            lines.append((at, at + len(line)))
+        at += len(line) + 1
+    paragraphs = _pieces(text, 0, len(text), _BLANK_LINES)
+    found.update(dict.fromkeys(paragraphs))
+    sentences = [s for start, end in paragraphs for s in _pieces(text, start, end, _SENTENCE_END)]
+    for start, end in lines:
+        parts = _pieces(text, start, end, _SENTENCE_END)
+        if len(parts) > 1:
+            found.update(dict.fromkeys(parts))
+    for row in (lines, sentences):
+        for i, (start, end) in enumerate(row):
+            words, chars = _size(text[start:end])
+            found[start, end] = None
+            for more, last in row[i + 1 :] if _short(words, chars) else ():
+                further = _size(text[more:last])
+                words, chars = words + further[0], chars + further[1] + 1
+                if not _short(words, chars):
+                    found[start, last] = None
+                    break
+    return list(found)
+
+
+def _size(unit: str) -> tuple[int, int]:
+    words = unit.lower().split()
+    return len(words), sum(map(len, words)) + max(0, len(words) - 1)
+
+
+def _short(words: int, chars: int) -> bool:
+    return words < LEAST_WORDS and chars < LEAST_CHARS
 
 
 def normal(unit: str) -> str | None:
     """Lower case, one space between words; None for a unit that is too short."""
     words = unit.lower().split()
-    return " ".join(words) if len(words) >= LEAST_WORDS else None
+    form = " ".join(words)
+    return None if _short(len(words), len(form)) else form
 
 
 def _units_of(texts: DataFrame, kind: str) -> DataFrame:
@@ -58,8 +94,10 @@ def _units_of(texts: DataFrame, kind: str) -> DataFrame:
 def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, end, kept_doc_id, kept_start, kept_end`` of every unit that repeats an earlier one.
 
-    Units are lines, and the sentences of lines that have several, of at least five words, equal in lower case
-    with single spaces. Earlier means a smaller id, then a smaller offset; offsets are code points of the
+    Units are lines, paragraphs between blank lines, and the sentences of both, of at least five words or 30
+    characters, equal in lower case with single spaces; so a paragraph wrapped at other columns is the same. A
+    shorter line or sentence makes a unit with as many of its followers as reach that size, so lists and verse
+    are cut line by line. A repeat that begins or ends inside a sentence of a longer line is not found. Earlier means a smaller id, then a smaller offset; offsets are code points of the
     original text, end exclusive. Null and empty texts have no units; equal rows are one place, so a
     repeated row adds nothing; null ids rank first; an empty table gives no rows.
 

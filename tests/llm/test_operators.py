@@ -237,6 +237,16 @@ def test_line_dedup_cuts(spark):
     assert line_dedup.cut_ranges("ab\ncd\nef", [(3, 5)]) == "ab\nef" and line_dedup.cut_ranges("abcdef", [(1, 3), (2, 4)]) == "aef"
 
 
+def test_line_dedup_short_lines_and_wrapping(spark):
+    verse = "\n".join(f"verse {k} of four" for k in range(20))
+    words = [f"word{k}" for k in range(60)]
+    wrapped = [" ".join(words[:30]) + "\n" + " ".join(words[30:]), "\n".join(" ".join(words[k : k + 7]) for k in range(0, 60, 7))]
+    chinese = "这是一段没有空格的文字" * 5
+    rows = [(1, f"first here\n{verse}\n\n{wrapped[0]}\n\n{chinese}\nx"), (2, f"second one\n{verse}\n\n{wrapped[1]}\n\nother\n{chinese}")]
+    out = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[1] == rows[0][1] and out[2].split() == ["second", "one", "other"]
+
+
 def test_packing_holds_all_words(docs, texts, odd, empty):
     for frame, rows in ((docs, list(texts.items())), (odd, [r[:2] for r in ODD])):
         got = packing.pack(frame, capacity=300, shard_rows=200).collect()
