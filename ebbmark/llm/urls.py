@@ -55,6 +55,43 @@ def address(url: Column, host: Column) -> Column:
     return F.concat(scheme, F.lit("://"), host, F.regexp_extract(url, r"^[^:/?#]*://[^/?#]*([^#]*)", 1))
 
 
+#: Named references that may stand in an address, ``&amp;`` last, so that nothing is decoded twice.
+_ENTITIES = (("quot", '"'), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("sol", "/"), ("colon", ":"), ("quest", "?"), ("equals", "="), ("num", "#"), ("period", "."), ("nbsp", "\u00a0"), ("amp", "&"))
+
+
+def decoded(text: Column) -> Column:
+    """A text with its numbered and the usual named character references replaced; others stay."""
+    mark = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});?"
+
+    def character(ref: Column) -> Column:
+        number = F.when(ref.rlike("^&#[xX]"), F.conv(F.regexp_extract(ref, "([0-9A-Fa-f]+);?$", 1), 16, 10)).otherwise(F.regexp_extract(ref, "([0-9]+);?$", 1)).cast("bigint")
+        wide = F.lpad(F.hex(number), 8, "0")
+        return F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(wide), "UTF-32")).otherwise(ref)
+
+    parts = F.split(text, mark, -1)
+    refs = F.concat(F.transform(F.regexp_extract_all(text, F.lit(mark), 0), character), F.array(F.lit("")))
+
+    def plain(part: Column) -> Column:
+        for name, sign in _ENTITIES:
+            part = F.regexp_replace(part, f"&{name};", sign)
+        return part
+
+    return F.array_join(F.zip_with(parts, refs, lambda part, ref: F.concat(plain(part), ref)), "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; ``..`` at the root stays at the root."""
+    segments = F.slice(F.split(path, "/", -1), 2, F.greatest(F.size(F.split(path, "/", -1)) - 1, F.lit(0)))
+    ends_in_folder = F.element_at(F.split(path, "/", -1), -1).isin(".", "..")
+    kept = F.aggregate(
+        segments,
+        F.array().cast("array<string>"),
+        lambda held, x: F.when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).when(x == ".", held).otherwise(F.concat(held, F.array(x))),
+    )
+    joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.startswith("/"), F.when(ends_in_folder & ~joined.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)).otherwise(path)
+
+
 def declared_links(pages: DataFrame) -> DataFrame:
     """``a, b``: addresses of pages and of what their markup names as canonical or redirects to at once."""
     tags = F.filter(
@@ -67,18 +104,25 @@ def declared_links(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("tag", r"(?is)^<link\b.*\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")),
         F.nullif(F.regexp_extract("tag", r"(?is)^<meta\b.*\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1), F.lit("")),
     )
-    found = found.select("url_", "node", href.alias("href")).where("href is not null")
+    found = found.select("url_", "node", F.explode(F.array(href)).alias("raw")).where("raw is not null")
+    # an explode of one value, so that no later filter repeats its expression
+    found = found.select("url_", "node", F.explode(F.array(decoded(F.col("raw")))).alias("href"))
     base = F.regexp_extract("url_", r"^([^:/?#]*://[^/?#]*)", 1)
     folder = F.regexp_extract("url_", r"^([^:/?#]*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     target = (
         F.when(F.col("href").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), F.col("href"))
         .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("url_", r"^([^:/?#]*:)", 1), F.col("href")))
         .when(F.col("href").startswith("/"), F.concat(base, F.col("href")))
-        .when(F.col("href").startswith("?") | F.col("href").startswith("#"), F.lit(None).cast("string"))
+        .when(F.col("href").startswith("?"), F.concat(F.regexp_extract("url_", r"^([^?#]*)", 1), F.col("href")))
+        .when(F.col("href").startswith("#"), F.lit(None).cast("string"))
         .when(folder.endswith("/"), F.concat(folder, F.col("href")))
         .otherwise(F.concat(folder, F.lit("/"), F.col("href")))
     )
-    linked = found.select("node", target.alias("target")).where("target is not null")
+    linked = found.select("node", F.explode(F.array(target)).alias("target")).where("target is not null")
+    start, after = r"^([^:/?#]*://[^/?#]*)", r"^[^:/?#]*://[^/?#]*[^?#]*(.*)$"
+    dotted = F.col("target").rlike(r"^[^:/?#]*://[^/?#]*[^?#]*/\.{1,2}(?:[/?#]|$)")
+    clean = F.concat(F.regexp_extract("target", start, 1), without_dots(host_and_path("target")[1]), F.regexp_extract("target", after, 1))
+    linked = linked.select("node", F.explode(F.array(F.when(dotted, clean).otherwise(F.col("target")))).alias("target"))
     host, _ = host_and_path("target")
     return linked.select(F.col("node").alias("a"), address(F.col("target"), host).alias("b"))
 

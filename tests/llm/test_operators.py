@@ -327,6 +327,22 @@ def test_urls_rules_and_aliases(spark):
     assert len(got) == len(rows) and urls.judge_pages(pages.limit(0)).count() == 0
 
 
+def test_urls_relative_links(spark):
+    from html import unescape
+    from urllib.parse import urljoin
+
+    base = "https://g.net/a/b/page?x=1#f"
+    hrefs = ["?id=1", "?id=1&amp;k=2", "./c", "../c", "../../../c/./d/..", "..", ".", "/x/../y?q=../z", "other?a=1&#38;b=2", "&#x2e;./e&amp;amp;f", "//h.net/a/../b", "http://h.net/./p/../q?r"]
+    pages = spark.createDataFrame([(i, base, f'<link rel="canonical" href="{h}">') for i, h in enumerate(hrefs)], "page_id long, url_ string, html_ string")
+    got = urls.declared_links(pages.withColumn("node", F.col("page_id").cast("string"))).collect()
+    # the library leaves the dots of targets that name a host
+    hosted = {"//h.net/a/../b": "https://h.net/b", "http://h.net/./p/../q?r": "http://h.net/q?r"}
+    assert {int(r.a): r.b for r in got} == {i: hosted.get(h, urljoin(base, unescape(h))) for i, h in enumerate(hrefs)}
+    rows = [(1, "https://c.net/p", '<link rel="canonical" href="?id=1&amp;k=2">'), (2, "https://c.net/p?id=1&k=2", '<link rel="canonical" href="../x/../t">'), (3, "https://c.net/t", '<meta http-equiv="refresh" content="0; url=http://a.example.org/es/1">')]
+    judged = urls.judge_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in judged} == {1: "block", 2: "block", 3: "block"}
+
+
 def test_urls_against_sql(spark):
     from tests import oracle
 
