@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ebbmark.llm import line_dedup, ngram_join, nn_descent, packing, pieces, pii, quality, token_cache, toxicity, urls
+from ebbmark.llm import language, line_dedup, ngram_join, nn_descent, packing, pieces, pii, quality, resample, token_cache, toxicity, turns, urls
 from ebbmark.llm.common import small_batches, table
 
 
@@ -29,6 +29,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": _over(packing.op8, "documents"),
     "op9_nn_descent": _over(nn_descent.op9, "embeddings"),
     "op10_token_counts": _over(token_cache.op10, "documents"),
+    "op11_language_id": _over(language.op11, "documents"),
+    "op12_conversation_repair": _over(turns.op12, "conversations"),
+    "op13_importance_resampling": _over(resample.op13, "documents", "benchmark"),
 }
 
 ORACLE: dict[str, str] = {"op7_url_filters": urls.OP7_SQL}
