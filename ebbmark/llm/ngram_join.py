@@ -19,6 +19,10 @@ STAR_ROUNDS = 4
 SKETCH_BITS, SKETCH_WORDS = 256, 4
 #: So many of a set's least bucket keys go along in the last round, to name most pairs once.
 LOW_KEYS = 16
+#: Bits that tell which texts may be needed, 1 MB in all: a wrong one moves a text in vain.
+NEEDED_BITS = 1 << 23
+#: Sets that a task remembers as indexed at a time.
+INDEXED = 1 << 19
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BYTE_STEP = 0xD6E8FEB86659FD93
@@ -172,6 +176,19 @@ def _set_digest(shingles: np.ndarray) -> tuple[int, int]:
     return (value >> 64) - (1 << 63), (value & (1 << 64) - 1) - (1 << 63)
 
 
+def _perhaps(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The texts that ``needed`` may name, and a few others, found without moving any text.
+
+    One bit of the id's digest is looked up; the table of bits has a fixed size, whatever the number of ids.
+    """
+    bit = lambda c: F.xxhash64(c).bitwiseAND(F.lit(NEEDED_BITS - 1))
+    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
+    bits = needed.select(bit("doc").alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(mask(F.col("b"))).alias("bits"))
+    found = texts.withColumn("b", bit("doc_id"))
+    found = found.join(F.broadcast(bits), F.shiftright("b", 6) == F.col("word"))
+    return found.where(F.col("bits").bitwiseAND(mask(F.col("b"))) != 0).select(*texts.columns)
+
+
 def ngram_links(
     docs: DataFrame, *, words: int = WORDS, similar: int = SIMILAR, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -230,9 +247,12 @@ def ngram_links(
     listed = [r.s for r in noted.orderBy(F.desc("n"), "s").limit(MOST_FREQUENT).select("s").toLocalIterator()]
     frequent = spark.sparkContext.broadcast(np.sort(np.array(listed, np.int64).view(np.uint64)))
 
+    done: set[tuple[int, int]] = set()
+
     def index(c: list[list]) -> list[list]:
-        out: list[list] = [[], [], [], [], [], []]
-        done = set()
+        out: list[list] = [[], [], [], []]
+        if len(done) > INDEXED:
+            done.clear()
         for text in c[0]:
             found = shingler.of(text)
             own = _set_digest(found)
@@ -246,11 +266,12 @@ def ngram_links(
                 more, of = combinations(found, frequent.value, similar)
                 keys, places = np.concatenate([keys, more]), np.concatenate([places, of])
             n = len(keys)
-            for column, x in zip(out, (_signed(keys).tolist(), [own[0]] * n, [own[1]] * n, [len(found)] * n, places.tolist(), [i >= singles for i in range(n)]), strict=True):
+            for column, x in zip(out, (_signed(keys).tolist(), [own[0]] * n, places.tolist(), [i >= singles for i in range(n)]), strict=True):
                 column.extend(x)
         return out
 
-    entries = map_texts(texts.select("text"), index, "key long, d1 long, d2 long, n int, place int, combined boolean")
+    # half a set's digest names it here: should two sets share it, both are in the bucket
+    entries = map_texts(texts.select("text"), index, "key long, d1 long, place int, combined boolean")
     # a rare shingle's documents are few and may meet in one task; combinations of frequent ones are spread
     spread = F.when(F.col("combined"), F.pmod("d1", F.lit(256))).otherwise(F.lit(0).cast("long"))
     together = Window.partitionBy("key", "spread")
@@ -259,9 +280,9 @@ def ngram_links(
     # a combination may be held by any share of the documents: partial sums, then a join that can be split
     pairs_of = kept.where("combined")
     shared = pairs_of.groupBy("key").agg(F.min("d1").alias("least"), F.max("d1").alias("most")).where("least <> most").select("key")
-    buckets = kept.where("not combined").select(F.xxhash64(F.lit(1), "key").alias("key"), "d1", "d2", "n", "place")
-    buckets = buckets.unionByName(pairs_of.join(shared, "key").select(F.xxhash64(F.lit(2), "key").alias("key"), "d1", "d2", "n", "place"))
-    buckets = buckets.join(standing.select("d1", "d2", F.col("class_id").alias("doc")), ["d1", "d2"]).select("key", "doc", "n", "place").distinct()
+    buckets = kept.where("not combined").select(F.xxhash64(F.lit(1), "key").alias("key"), "d1", "place")
+    buckets = buckets.unionByName(pairs_of.join(shared, "key").select(F.xxhash64(F.lit(2), "key").alias("key"), "d1", "place"))
+    buckets = buckets.join(standing.select("d1", F.col("class_id").alias("doc"), F.col("n_shingles").cast("int").alias("n")), "d1").select("key", "doc", "n", "place").distinct()
     buckets = scratch.stage(buckets, "buckets")
     scratch.drop("shared-shingles")
 
@@ -282,19 +303,25 @@ def ngram_links(
     sketch_bound = f"{100 + similar} * (a.n + b.n - differ) >= {2 * similar} * (a.n + b.n)"
     words_differ = " + ".join(f"bit_count(a.w{i} ^ b.w{i})" for i in range(SKETCH_WORDS))
     first_meeting = "coalesce(array_min(array_intersect(a.low, b.low)), a.key) = a.key"
-    held = None
-    joined = spark.createDataFrame([], f"node {kind}, component {kind}")
+    held = joined = None
+    order = F.struct(F.xxhash64("doc").alias("order"), "doc", "n", "place", "part")
     for turn in range(STAR_ROUNDS + 1):
-        labelled = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
-        mixed = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-        labelled = scratch.stage(labelled.join(mixed, "key", "left_semi"), "mixed-buckets")
+        labelled = buckets.withColumn("part", F.col("doc"))
+        if joined is not None:
+            labelled = buckets.join(joined.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("component", "doc")).drop("component")
+            labelled = scratch.stage(labelled, "labelled-buckets")
+        # written before it is joined, so that adaptive execution can split a large bucket
+        pivots = labelled.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min(order).alias("p")).where("low <> high")
+        pivots = scratch.stage(pivots.select("key", "p.*"), "pivots")
         if turn < STAR_ROUNDS:
-            order = F.struct(F.xxhash64("doc").alias("order"), "doc", "n", "place", "part")
-            pivots = scratch.stage(labelled.groupBy("key").agg(F.min(order).alias("p")).select("key", "p.*"), "pivots")
-            pairs = labelled.alias("a").join(pivots.alias("b"), "key").where(f"a.doc <> b.doc and a.part <> b.part and {sizes} and {places}")
-            left = labelled.join(pivots.select("key", F.col("doc").alias("pivot")), "key").where("doc <> pivot").drop("pivot", "part")
+            pivot = pivots.select("key", *(F.col(x).alias(f"p_{x}") for x in ("doc", "n", "place", "part")))
+            met = scratch.stage(labelled.join(pivot, "key").where("doc <> p_doc"), "met-pivots")
+            of = lambda mark: F.struct(*(F.col(mark + x).alias(x) for x in ("doc", "n", "place", "part")))
+            pairs = met.select(of("").alias("a"), of("p_").alias("b")).where(f"a.part <> b.part and {sizes} and {places}")
+            left = met.select("key", "doc", "n", "place")
         else:
             # unlike pairs and most repeated ones go inside the join: a large bucket gives its likely pairs only
+            labelled = scratch.stage(labelled.join(pivots.select("key"), "key", "left_semi"), "mixed-buckets")
             low = labelled.groupBy("doc").agg(F.slice(F.array_sort(F.collect_list("key")), 1, LOW_KEYS).alias("low"))
             carried = scratch.stage(low.join(sketches, "doc").select("doc", "low", *_words("sketch")), "carried")
             # a large bucket's rows spread over all tasks where the other side is small enough to be sent to each
@@ -309,21 +336,26 @@ def ngram_links(
         pairs = pairs.withColumn("differ", differ).where(sketch_bound.replace("a.n + b.n", "n")).select("a", "b")
         pairs = scratch.stage(pairs, "candidates")
         if pairs.limit(1).count():
-            needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-            needed = needed if held is None else needed.join(held, "doc", "left_anti")
+            paired = scratch.stage(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "paired")
+            needed = paired if held is None else paired.join(held, "doc", "left_anti")
             needed = scratch.stage(needed.join(standing.select(F.col("class_id").alias("doc"), "d1", "d2"), "doc"), "needed")
-            wanted = texts.join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "d1", "d2", "text")
+            wanted = _perhaps(texts, needed).join(needed.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "d1", "d2", "text")
             more = scratch.stage(map_texts(wanted, arrays, f"doc {kind}, shingles array<long>"), f"shingle-arrays-{turn}")
             held = more if held is None else held.unionByName(more)
-            both = pairs.join(held.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(held.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
+            own = held.join(paired, "doc", "left_semi")
+            both = pairs.join(own.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), "a").join(own.select(F.col("doc").alias("b"), F.col("shingles").alias("y")), "b")
             common = F.size(F.array_intersect("x", "y"))
             links = both.where(100 * common >= similar * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
-            joined = components(links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+            if joined is not None:
+                links = links.unionByName(joined.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            joined = components(links)
         if turn < STAR_ROUNDS:
             buckets = scratch.stage(left, "buckets")
             if buckets.limit(1).count() == 0:
                 break
 
+    if joined is None:
+        joined = spark.createDataFrame([], f"node {kind}, component {kind}")
     known = classes.drop("sketch").join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     full = rows.select("doc_id", "n_shingles", "d1", "d2").join(known, ["n_shingles", "d1", "d2"], "left")
     return full.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
