@@ -83,3 +83,66 @@ def component_ids(rows, n, similar):
         for x in s:
             where.setdefault(x, []).append(k)
     return {i: root(i) for i, _ in rows}
+
+
+def _form(text):
+    return " ".join(text.lower().split())
+
+
+def _small(form):
+    return len(form) < 30 and len(form.split()) < 5
+
+
+def _cover(pieces):
+    """The ranges of pieces, short ones together with neighbours: the fewest that follow, else all that follow and the fewest before."""
+    n = len(pieces)
+    for i in range(n):
+        runs = [(i, j) for j in range(i, n)] + [(h, n - 1) for h in range(i - 1, -1, -1)]
+        a, b = next(((a, b) for a, b in runs if not _small(" ".join(p[2] for p in pieces[a : b + 1]))), (0, n - 1))
+        yield pieces[a][0], pieces[b][1], " ".join(p[2] for p in pieces[a : b + 1])
+
+
+def plain_units(text):
+    """``(start, end): form`` by the rule in words: lines, paragraphs, the sentences of both, short ones with neighbours."""
+    lines = [(m.start(), m.end(), _form(m[0])) for m in re.finditer("[^\n]*", text) if m[0].strip()]
+    groups = []
+    for line in lines:
+        between = text[groups[-1][-1][1] : line[0]] if groups else "\n\n"
+        if between.count("\n") > 1:
+            groups.append([])
+        groups[-1].append(line)
+
+    def sentences(a, b):
+        out, at = [], a
+        for m in re.finditer(r"(?<=[.!?])\s+|(?<=[。！？])\s*", text[:b]):
+            if a <= m.start() and m.end() <= b:
+                out.append((at, m.start()))
+                at = m.end()
+        return [(x, y, _form(text[x:y])) for x, y in [*out, (at, b)] if text[x:y].strip()]
+
+    found = {}
+    every = []
+    for group in groups:
+        a, b = group[0][0], group[-1][1]
+        every += sentences(a, b)
+        within = [sentences(line[0], line[1]) for line in group]  # a line's only sentence is the line
+        for x, y, form in [(a, b, _form(text[a:b])), *(s for parts in within if len(parts) > 1 for s in parts)]:
+            if not _small(form):
+                found[x, y] = form
+    for pieces in (lines, every):
+        for x, y, form in _cover(pieces):
+            found[x, y] = form
+    return found
+
+
+def repeats(rows):
+    """The maximal repeated units of ``(id, text)`` rows, ids distinct and texts not null."""
+    first, out = {}, set()
+    for i, text in sorted(rows):
+        held = []
+        for (a, b), form in sorted(plain_units(text).items()):
+            at = first.setdefault(form, (i, a, b))
+            if at != (i, a, b):
+                held.append((i, a, b, *at))
+        out |= {h for h in held if not any(g is not h and g[1] <= h[1] and h[2] <= g[2] for g in held)}
+    return out

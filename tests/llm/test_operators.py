@@ -215,19 +215,33 @@ def test_toxicity_grammar(spark, odd, empty):
 
 
 def test_line_dedup_brute(docs, texts, odd, empty):
-    first, expected = {}, set()
-    places = sorted((i, start, end, line_dedup.normal(t[start:end])) for i, t in texts.items() if t for start, end in line_dedup.units(t))
-    for i, start, end, form in places:
-        if form is not None:
-            at = first.setdefault(form, (i, start, end))
-            if at != (i, start, end):
-                expected.add((i, start, end, *at))
     got = [tuple(r) for r in line_dedup.repeated_units(docs).collect()]
-    assert len(got) == len(set(got)) and set(got) == expected
+    assert len(got) == len(set(got)) and set(got) == brute.repeats([(i, t) for i, t in texts.items() if t])
     assert {r.doc_id for r in line_dedup.repeated_units(odd).collect()} == {4, 5}
     assert line_dedup.repeated_units(empty).count() == 0
 
 
+def test_line_dedup_units_brute():
+    rng = np.random.default_rng(9)
+    parts = ["One two three four five six.", "Short.", "no end here", " ", "\n", "\n\n", "\n \n", "。", "句子很长没有空格的文字写在这里一二三四五六七八九十。", "Read more", "a b c d e f g! ", "\x00 \t"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, size=rng.integers(0, 12)))
+        assert line_dedup.units(text) == brute.plain_units(text), repr(text)
+
+
+def test_line_dedup_closing_short_line(spark):
+    rows = [(1, "some line of more than five words\nRead more"), (2, "other line of more than five words\nsome line of more than five words\nRead more"), (3, "Read more"), (4, "READ  more")]
+    out = {r.doc_id: r.text for r in line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: rows[0][1], 2: "other line of more than five words", 3: "Read more", 4: ""}
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    line = "a line of quite a few words here"
+    rows = [(1, line, "o", "c", "t", 1, "r"), (2, f"ab\0cd line one\n{line}\nsecond", "O", "C", "T", 2, "R"), (2, "another text of the same id", "p", "d", "u", 3, "s")]
+    out = line_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, of_ string, cuts_ string, t string, ranges int, row string"))
+    assert Counter(map(tuple, out.collect())) == Counter([rows[0], (2, "ab\0cd line one\nsecond", "O", "C", "T", 2, "R"), rows[2]])
+
+
 def test_line_dedup_cuts(spark):
     passage = "alpha beta gamma delta epsilon zeta. eta theta iota kappa lambda mu!"
     rows = [(1, f"head line here\n{passage}\ntail", 5), (2, f"other\n{passage}\nend", 6), (3, f"inside {passage} and on it goes", 7), (4, None, 8)]
@@ -383,11 +397,15 @@ def _recall(rows, found):
 
 
 def test_nearest_recall_larger(spark):
-    table = common.table(spark, "/root/testdata/check_s", "embeddings")
+    """Vectors around many centres, five times as many as the test table has."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(60, 24))
+    vectors = (centres[rng.integers(0, 60, 10_000)] + 0.7 * rng.normal(size=(10_000, 24))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     got = defaultdict(list)
-    for r in nn_descent.op9(spark, table).collect():
+    for r in nn_descent.op9(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect():
         got[r.query_id].append(r.vec_id)
-    assert _recall([tuple(r) for r in table.select("vec_id", "embedding").collect()], got) >= 0.9
+    assert _recall(rows, got) >= 0.9
 
 
 def test_nearest_leaves_closed_groups(spark):
