@@ -19,23 +19,21 @@ PATTERNS = {
 }
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){11}", "phone": r"\+[0-9]"}
 
-#: A word that may be an identifier: it has a digit.
-WORD = r"(?<![A-Za-z0-9._@%+-])[A-Za-z._@%+-]*+[0-9][A-Za-z0-9._@%+-]*+"
-#: The last word before a span, with what may stand between.
-CUE = r"([\p{L}][\p{L}\p{N}_-]{0,40}[^\p{L}\p{N}]{1,6})$"
-#: The same for every word of a text.
-ANY_CUE = r"[\p{L}][\p{L}\p{N}_-]{0,40}+[^\p{L}\p{N}]{1,6}"
-
-#: A context is sure if so many different seeds follow it, and seeds follow so large a share of its occurrences.
-LEAST_SEEDS, LEAST_SHARE = 3, 0.6
-#: Rounds of the exchange between contexts and identifiers, and the shortest identifier.
-ROUNDS, SHORTEST = 3, 5
-
-
-def cue_of(found: Column) -> Column:
-    """A context: the word in lower case, and which of ``: = #`` stands behind it, if any."""
-    word = F.lower(F.regexp_extract(found, r"^([\p{L}][\p{L}\p{N}_-]*)", 1))
-    return F.when(found != "", F.concat(word, F.regexp_extract(found, r"^[\p{L}][\p{L}\p{N}_-]*[^:=#]*([:=#]?)", 1)))
+#: Seeds besides the base kinds: long hexadecimal strings, as keys and digests are written.
+KEY_SHAPE = r"(?i)^(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}$"
+#: A pattern is a context: up to so many pieces before an identifier, or one before and one behind it.
+LEFT = 3
+#: A pattern is followed if so many different known identifiers stand in it, in so large a share of its places; it is
+#: sure from the larger share on.
+LEAST_SEEDS, LEAST_PART, LEAST_SHARE = 3, 0.05, 0.6
+#: Bits that tell which patterns or values may matter, 1 MB in all: a wrong one is counted in vain.
+KNOWN_BITS = 1 << 23
+#: Pieces of a text in one row of its stream.
+BLOCK = 256
+#: Where a text is cut into pieces: behind white space, and behind ``:`` or ``=`` before what they name.
+CUTS = r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])|(?<=[:=])(?=[^\x20\x09-\x0D:=/])"
+#: The identifier in a piece: without punctuation around it.
+CORE = r"(?s)^([^\p{L}\p{N}@+_]*+)(.*[\p{L}\p{N}_])"
 
 
 def valid(kind: Column, hit: Column) -> Column:
@@ -60,91 +58,189 @@ def valid(kind: Column, hit: Column) -> Column:
 
 
 def _matches(kind: str, pattern: str, needs: str) -> Column:
-    """All matches of a pattern, each with the length of the text since the one before and that text's last word."""
+    """All matches of a pattern, each with the length of the text since the one before."""
     hits = F.regexp_extract_all("text_", F.lit(pattern), 0)
     gaps = F.split("text_", pattern, -1)
     listed = F.zip_with(
-        hits,
-        F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))),
-        lambda hit, gap: F.struct(
-            F.lit(kind).alias("kind"), F.length(gap).alias("before"), hit.alias("hit"), cue_of(F.regexp_extract(F.right(gap, F.lit(60)), CUE, 1)).alias("cue")
-        ),
+        hits, F.slice(gaps, 1, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda hit, gap: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("before"), hit.alias("hit"))
     )
-    nothing = F.lit(None).cast("array<struct<kind:string,before:int,hit:string,cue:string>>")
-    return F.coalesce(F.when(F.col("text_").rlike(needs), listed), nothing, F.array().cast("array<struct<kind:string,before:int,hit:string,cue:string>>"))
+    kind_of = "array<struct<kind:string,before:int,hit:string>>"
+    return F.coalesce(F.when(F.col("text_").rlike(needs), listed), F.lit(None).cast(kind_of), F.array().cast(kind_of))
 
 
-def _found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents, numbered, and the place of every match and every word that may be an identifier."""
-    texts = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text_"))
-    lists = [_matches(k, PATTERNS[k], NEEDS[k]) for k in KINDS] + [_matches("word", WORD, "[0-9]")]
-    rows = texts.select(
-        F.monotonically_increasing_id().alias("row"),
-        "doc_id",
-        F.xxhash64("text_").alias("d1"),
-        F.xxhash64(F.lit("second"), "text_").alias("d2"),
-        F.concat(*lists).alias("matches"),
-    )
-    rows = stage(rows, "pii-matches")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    return docs.select(docs[id_col].alias("doc_id"), text.alias("text_"), F.xxhash64(text).alias("d1"), F.xxhash64(F.lit("second"), text).alias("d2"))
+
+
+def _base(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents, numbered, and the spans of all base patterns, both written."""
+    lists = [_matches(k, PATTERNS[k], NEEDS[k]) for k in KINDS]
+    rows = stage(texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "d1", "d2", F.concat(*lists).alias("matches")), "pii-matches")
     each = rows.select("row", F.posexplode("matches").alias("i", "m")).select("row", "i", "m.*")
     order = Window.partitionBy("row", "kind").orderBy("i")
     place = F.sum("before").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(
         F.sum(F.length("hit")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
     )
-    placed = each.withColumn("start", place).where((F.col("kind") == "word") | valid(F.col("kind"), F.col("hit")))
-    # a word ends with its last letter or digit
-    core = F.when(F.col("kind") == "word", F.regexp_replace("hit", "^[._@%+-]+|[._@%+-]+$", "")).otherwise(F.col("hit"))
-    lead = F.when(F.col("kind") == "word", F.length(F.regexp_extract("hit", "^[._@%+-]*", 0))).otherwise(F.lit(0))
-    spans = placed.select("row", "kind", "cue", (F.col("start") + lead).alias("start"), core.alias("value"))
-    spans = spans.withColumn("end", F.col("start") + F.length("value"))
-    return rows.drop("matches"), stage(spans.where((F.col("kind") != "word") | (F.length("value") >= SHORTEST)), "pii-spans")
-
-
-def _discovered(docs: DataFrame, text_col: str, spans: DataFrame) -> DataFrame:
-    """``row, start, end`` of identifiers that follow sure contexts.
-
-    Contexts and identifiers form a graph. A context scores the share of its occurrences that seeds follow; an
-    identifier scores as its best sure context and is a seed of that weight in the next round, wherever it
-    stands. Contexts are counted over all words of all documents; both sides are combined before they are
-    joined, so a frequent context is one row.
+    placed = each.withColumn("start", place).where(valid(F.col("kind"), F.col("hit")))
+    return rows.drop("matches"), stage(placed.select("row", "kind", "start", (F.col("start") + F.length("hit")).alias("end")), "pii-spans")
+
+
+def _stream(texts: DataFrame) -> DataFrame:
+    """Every piece of every text with the digests of the pieces around it: ``doc_id, d1, d2, base, block, j, piece, p1, p2, p3, next``.
+
+    ``block`` holds the pieces of this part of the text, of which ``piece`` is number ``j``, and ``base`` is the length of the text before it.
     """
-    base = spans.where("kind <> 'word'").select("row", F.col("start").alias("from"), F.col("end").alias("to"))
-    words = spans.where("kind = 'word' and cue is not null").join(base, "row", "left").groupBy("row", "start", "end", "value", "cue").agg(
-        F.coalesce(F.bool_or((F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))), F.lit(False)).alias("known")
-    )
-    words = stage(words.where("not known").drop("known"), "pii-words")
-    seeds = spans.where("kind <> 'word' and cue is not null").groupBy("cue", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("weight"))
-    seeds = stage(seeds, "pii-seeds")
-    cues = F.regexp_extract_all(F.coalesce(docs[text_col].cast("string"), F.lit("")), F.lit(ANY_CUE), 0)
-    uses = docs.select(F.explode(cues).alias("found")).groupBy(cue_of(F.col("found")).alias("cue")).agg(F.count(F.lit(1)).alias("uses"))
-    # only a context of some seed or word can matter; a semi join would move below the counting and shuffle every word
-    held = seeds.select("cue").union(words.select("cue")).distinct()
-    uses = stage(uses.join(held, "cue"), "pii-contexts")
-    instances = stage(words.groupBy("cue", "value").agg(F.count(F.lit(1)).alias("n")), "pii-instances")
-    sure, before = None, -1
-    for _ in range(ROUNDS):
-        scored = seeds.groupBy("cue").agg(F.sum("weight").alias("support"), F.sum(F.col("n") * F.col("weight")).alias("hits")).join(uses, "cue")
-        sure = stage(scored.select("cue", "support", F.least(F.lit(1.0), F.col("hits") / F.col("uses")).alias("share")).where((F.col("support") >= LEAST_SEEDS) & (F.col("share") >= LEAST_SHARE)), "pii-sure")
-        now = sure.count()
+    whole = texts.select("doc_id", "d1", "d2", F.split("text_", CUTS, -1).alias("pieces"))
+    starts = F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(BLOCK))
+    sized = whole.withColumn("sizes", F.transform(starts, lambda at: F.length(F.array_join(F.slice("pieces", at + 1, F.lit(BLOCK)), "")).cast("long")))
+    before = lambda at: F.aggregate(F.slice("sizes", F.lit(1), (at / BLOCK).cast("int")), F.lit(0).cast("long"), lambda t, x: t + x)
+    blocks = sized.select(
+        "doc_id",
+        "d1",
+        "d2",
+        F.explode(
+            F.transform(
+                F.sequence(F.lit(0), F.size("pieces") - 1, F.lit(BLOCK)),
+                lambda at: F.struct(
+                    before(at).alias("base"),
+                    F.slice("pieces", at + 1, F.lit(BLOCK)).alias("block"),
+                    # with the pieces before and behind, for their digests
+                    F.slice("pieces", F.greatest(at - LEFT + 1, F.lit(1)), F.least(at, F.lit(LEFT))).alias("left"),
+                    F.slice("pieces", at + BLOCK + 1, F.lit(1)).alias("right"),
+                ),
+            )
+        ).alias("b"),
+    ).select("doc_id", "d1", "d2", "b.*")
+    digest = lambda pieces: F.transform(pieces, lambda x: F.xxhash64(F.lower(F.rtrim(x, F.lit(" \t\n\x0b\x0c\r")))))
+    nothing = F.array_repeat(F.lit(0).cast("long"), F.lit(LEFT) - F.size("left"))
+    around = blocks.select("doc_id", "d1", "d2", "base", "block", F.concat(nothing, digest("left"), digest("block"), digest("right"), F.array(F.lit(0).cast("long"))).alias("h"))
+    n = F.size("block")
+    side = lambda shift: F.slice("h", shift, n)
+    zipped = F.arrays_zip(F.col("block").alias("piece"), side(1).alias("p3"), side(2).alias("p2"), side(3).alias("p1"), side(LEFT + 2).alias("next"))
+    listed = around.select("doc_id", "d1", "d2", "base", "block", F.posexplode(zipped).alias("j", "x"))
+    return listed.select("doc_id", "d1", "d2", "base", "block", "j", F.col("x.piece").alias("piece"), "x.p1", "x.p2", "x.p3", "x.next")
+
+
+def _with_patterns(stream: DataFrame, *columns: str | Column) -> DataFrame:
+    """``columns`` and the digest of each pattern that stands around a piece."""
+    digests = [F.xxhash64(F.lit(1), "p1"), F.xxhash64(F.lit(2), "p2", "p1"), F.xxhash64(F.lit(3), "p3", "p2", "p1"), F.xxhash64(F.lit(4), "p1", "next")]
+    return stream.select(*columns, F.explode(F.array(*digests)).alias("pattern"))
+
+
+def _perhaps(df: DataFrame, name: str, known: DataFrame) -> DataFrame:
+    """The rows whose ``name`` may be among ``known``, by one bit of a digest; the table of bits has a fixed size."""
+    bit = lambda: F.xxhash64(name).bitwiseAND(F.lit(KNOWN_BITS - 1))
+    mask = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b.bitwiseAND(F.lit(63)).cast("int"))
+    bits = known.select(bit().alias("b")).groupBy(F.shiftright("b", 6).alias("word")).agg(F.bit_or(mask(F.col("b"))).alias("bits"))
+    sifted = df.join(F.broadcast(bits), F.shiftright(bit(), 6) == F.col("word"))
+    return sifted.where(F.col("bits").bitwiseAND(mask(bit())) != 0).select(*df.columns)
+
+
+def _core(piece: str = "piece") -> Column:
+    return F.regexp_extract(piece, CORE, 2)
+
+
+def is_seed(value: Column) -> Column:
+    """Whether an identifier is known by its own form: a base kind in one piece, the begin of a telephone number, or a key."""
+    fits = [value.rlike(f"^(?:{PATTERNS[k]})$") & valid(F.lit(k), value) for k in ("email", "ip", "card")]
+    return fits[0] | fits[1] | fits[2] | value.rlike(r"^\+[0-9]") | value.rlike(KEY_SHAPE)
+
+
+def _sum_of(df: DataFrame) -> tuple:
+    """Rows and a sum of digests: equal tables have equal ones."""
+    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first())
+
+
+def scored_graph(edges: DataFrame, uses: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sure patterns ``pattern, share`` and learnt identifiers ``value, weight``, both written.
+
+    ``edges(pattern, value, n)`` join patterns and identifiers, ``uses(pattern, uses)`` say how often a pattern stands anywhere, and
+    ``seeds(value, weight)`` are known. A pattern's share is the weight of the known identifiers in it by its uses, its support their
+    summed weight; an identifier weighs as much as its best sure pattern. Both only grow, and rounds go on
+    until no score, to six places, changes.
+    """
+    known, before = seeds, None
+    while True:
+        scored = edges.join(known, "value").groupBy("pattern").agg(F.sum("weight").alias("support"), F.sum(F.col("n") * F.col("weight")).alias("hits")).join(uses, "pattern")
+        share = F.round(F.least(F.lit(1.0), F.col("hits") / F.col("uses")), 6)
+        sure = stage(scored.where((F.round("support", 6) >= LEAST_SEEDS) & (share >= LEAST_SHARE)).select("pattern", share.alias("share")), "pii-sure")
+        learnt = stage(edges.join(sure, "pattern").groupBy("value").agg(F.max("share").alias("weight")), "pii-learnt")
+        now = _sum_of(sure)
         if now == before:
-            break
+            return sure, learnt
         before = now
-        learnt = instances.join(sure, "cue").groupBy("value").agg(F.max("share").alias("weight"))
-        again = instances.join(learnt, "value").select("cue", "value", "n", "weight")
-        first = spans.where("kind <> 'word' and cue is not null").groupBy("cue", "value").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("weight"))
-        seeds = stage(first.unionByName(again), "pii-seeds")
-    return words.join(sure, "cue").select("row", "start", "end").distinct()
+        known = stage(seeds.unionByName(learnt).groupBy("value").agg(F.max("weight").alias("weight")), "pii-known")
+
+
+def sure_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pattern, share`` of the patterns that identifiers stand in, and the places ``doc_id, d1, d2, start, value, pattern`` of all that
+    were followed; both written. Nothing is found if no pattern was followed.
+
+    Seeds induce patterns, sure patterns teach identifiers, and these induce further patterns wherever they stand, until none is
+    new. A pattern is counted over all texts before it moves, and only if a known identifier stands in it often enough.
+    """
+    stream = _stream(texts)
+    spotted = _stream(texts.where(F.col("text_").rlike("[0-9@]"))).where(F.col("piece").rlike("[0-9@]")).withColumn("value", _core()).where(is_seed(F.col("value")))
+    places = stage(_with_patterns(spotted, "value").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "pii-seed-places")
+    seeds = stage(places.select("value", F.lit(1.0).alias("weight")).distinct(), "pii-seeds")
+    known, measured, spots, uses = seeds, None, None, None
+    start = F.col("base") + F.length(F.array_join(F.slice("block", F.lit(1), F.col("j")), "")) + F.length(F.regexp_extract("piece", CORE, 1))
+    while True:
+        held = places.join(known, "value").groupBy("pattern").agg(F.sum("weight").alias("support"), F.sum(F.col("n") * F.col("weight")).alias("hits"))
+        induced = held.where(F.round("support", 6) >= LEAST_SEEDS)
+        if measured is not None:
+            induced = induced.join(measured, "pattern", "left_anti")
+        induced = stage(induced, "pii-induced")
+        if induced.limit(1).count() == 0:
+            break
+        measured = induced.select("pattern") if measured is None else measured.unionByName(induced.select("pattern"))
+        counted = _perhaps(_with_patterns(stream), "pattern", induced).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
+        followed = stage(counted.join(induced, "pattern").where(F.col("hits") >= LEAST_PART * F.col("uses")).select("pattern", "uses"), "pii-followed")
+        found = _perhaps(_with_patterns(stream, "doc_id", "d1", "d2", "base", "block", "j", "piece"), "pattern", followed)
+        found = found.select("doc_id", "d1", "d2", start.alias("start"), _core().alias("value"), "pattern").where("value <> ''")
+        found = stage(found.join(followed.select("pattern"), "pattern").select("doc_id", "d1", "d2", "start", "value", "pattern"), "pii-spots")
+        spots = found if spots is None else spots.unionByName(found)
+        uses = followed if uses is None else uses.unionByName(followed)
+        edges = stage(spots.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
+        sure, learnt = scored_graph(edges, uses, seeds)
+        fresh = stage(learnt.join(known, "value", "left_anti"), "pii-fresh")
+        if fresh.limit(1).count() == 0:
+            break
+        more = _perhaps(stream.withColumn("value", _core()), "value", fresh)
+        more = _with_patterns(more, "value").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")).join(fresh.select("value"), "value")
+        places = stage(places.unionByName(more.select("pattern", "value", "n")), "pii-places")
+        known = stage(seeds.unionByName(learnt).groupBy("value").agg(F.max("weight").alias("weight")), "pii-known")
+    if spots is None:
+        spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()
+        return spark.createDataFrame([], "pattern long, share double"), spark.createDataFrame([], f"doc_id {kind}, d1 long, d2 long, start long, value string, pattern long")
+    return sure, spots
+
+
+def _discovered(texts: DataFrame, rows: DataFrame, base: DataFrame) -> DataFrame:
+    """``row, start, end`` of the identifiers in sure patterns that no base span overlaps."""
+    sure, spots = sure_patterns(texts)
+    # equal rows have equal identifiers: each gets them all
+    found = spots.join(sure, "pattern").select("doc_id", "d1", "d2", "start", (F.col("start") + F.length("value")).alias("end")).distinct()
+    found = stage(found.withColumnsRenamed({"doc_id": "id", "d1": "e1", "d2": "e2"}), "pii-found")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("d1") == F.col("e1")) & (F.col("d2") == F.col("e2"))
+    placed = rows.join(found, same).select("row", "start", "end")
+    known = base.select("row", F.col("start").alias("from"), F.col("end").alias("to"))
+    over = (F.col("from") < F.col("end")) & (F.col("to") > F.col("start"))
+    return placed.join(known, "row", "left").groupBy("row", "start", "end").agg(F.coalesce(F.bool_or(over), F.lit(False)).alias("known")).where("not known").drop("known")
 
 
 def spans_of(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``row, doc_id, d1, d2`` of every input row (d1, d2: digests of its text), and ``row, kind, start, end`` of all spans.
 
-    Base kinds first; identifiers found by their contexts are of kind ``id`` and never overlap a base span.
-    Null and empty texts have no spans; repeated rows have their own number; an empty table gives empty ones.
+    Base kinds first; identifiers found by their patterns are of kind ``id`` and never overlap a base span. Whole texts are
+    read, however long. Null and empty texts have no spans; repeated rows have their own number; an empty table gives empty ones;
+    null ids are ids like any other. A pattern is known by a 64-bit digest, and identifiers are compared as written.
     """
-    rows, spans = _found(docs, id_col, text_col)
-    base = spans.where("kind <> 'word'").select("row", "kind", "start", "end")
-    return rows, base.unionByName(_discovered(docs, text_col, spans).select("row", F.lit("id").alias("kind"), "start", "end"))
+    texts = _texts(docs, id_col, text_col)
+    rows, base = _base(texts)
+    found = _discovered(texts, rows, base)
+    return rows, base.unionByName(found.select("row", F.lit("id").alias("kind"), F.col("start").cast(base.schema["start"].dataType), F.col("end").cast(base.schema["end"].dataType)))
 
 
 def _listed(spans: DataFrame) -> DataFrame:
@@ -175,24 +271,27 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def redacted(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each stretch of overlapping spans replaced by its first kind in angle brackets.
 
-    All columns and rows stay; a null text stays null. Only documents' own spans are gathered. Rows of one id
-    and text share their spans.
+    All columns and rows stay, whatever their names; a null text stays null, and empty tables, repeated rows and very long texts
+    are treated as in ``spans_of``. Only documents' own spans are gathered. Rows of one id and text share their spans.
     """
     rows, spans = spans_of(docs, id_col=id_col, text_col=text_col)
-    listed = rows.join(_listed(spans), "row").groupBy(F.col("doc_id").alias("of_"), F.col("d1").alias("e1_"), F.col("d2").alias("e2_")).agg(F.first("spans").alias("spans_"))
+    listed = rows.join(_listed(spans), "row").groupBy("doc_id", "d1", "d2").agg(F.first("spans").alias("spans"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.withColumns({"d1_": F.xxhash64(text), "d2_": F.xxhash64(F.lit("second"), text)})
-    joined = keyed.join(listed, keyed[id_col].eqNullSafe(F.col("of_")) & (F.col("d1_") == F.col("e1_")) & (F.col("d2_") == F.col("e2_")), "left")
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs[id_col].alias("of"), F.xxhash64(text).alias("e1"), F.xxhash64(F.lit("second"), text).alias("e2"))
+    joined = held.join(listed, F.col("of").eqNullSafe(F.col("doc_id")) & (F.col("e1") == F.col("d1")) & (F.col("e2") == F.col("d2")), "left")
+    own = F.col("whole").getField(text_col)
     # each span is replaced where it begins behind all earlier ones; what overlaps is cut
+    reach = F.expr("aggregate(spans, cast(array(0L) as array<bigint>), (ends, s) -> ends || array(greatest(element_at(ends, -1), s.end)))")
     pieces = F.expr(
-        f"""concat(
-          concat_ws('', transform(spans_, (s, i) -> concat(
-            substring(`{text_col}`, int(reach_[i] + 1), int(greatest(s.start - reach_[i], 0))),
-            CASE WHEN s.start >= reach_[i] THEN concat('<', s.kind, '>') ELSE '' END))),
-          substring(`{text_col}`, int(array_max(transform(spans_, s -> s.end)) + 1)))"""
+        """concat(
+          concat_ws('', transform(spans, (s, i) -> concat(
+            substring(own, int(reach[i] + 1), int(greatest(s.start - reach[i], 0))),
+            CASE WHEN s.start >= reach[i] THEN concat('<', s.kind, '>') ELSE '' END))),
+          substring(own, int(array_max(reach) + 1)))"""
     )
-    reach = F.expr("transform(spans_, (s, i) -> CASE WHEN i = 0 THEN 0L ELSE array_max(transform(slice(spans_, 1, i), t -> t.end)) END)")
-    return joined.withColumn("reach_", reach).select(*(F.when(F.col("spans_").isNull(), F.col(c)).otherwise(pieces).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    marked = joined.select("whole", "spans", own.cast("string").alias("own"), reach.alias("reach"))
+    new = F.when(F.col("spans").isNull(), own).otherwise(pieces)
+    return marked.select(*((new if c == text_col else F.col("whole").getField(c)).alias(c) for c in docs.columns))
 
 
 def op3(spark: SparkSession, docs: DataFrame) -> DataFrame:

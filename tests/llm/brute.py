@@ -146,3 +146,61 @@ def repeats(rows):
                 held.append((i, a, b, *at))
         out |= {h for h in held if not any(g is not h and g[1] <= h[1] and h[2] <= g[2] for g in held)}
     return out
+
+
+def identifiers(rows):
+    """``{id: [(start, end)]}`` of the identifiers that bootstrapped patterns find in ``(id, text)`` rows, base spans aside."""
+    places = []  # document, start, value, patterns
+    for i, text in rows:
+        cuts = [0, *(k for k in range(1, len(text)) if (text[k - 1] in " \t\n\x0b\x0c\r" and text[k] not in " \t\n\x0b\x0c\r") or (text[k - 1] in ":=" and text[k] not in " \t\n\x0b\x0c\r:=/")), len(text)]
+        pieces = [(a, text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        words = [None] * 3 + [p.rstrip(" \t\n\x0b\x0c\r").lower() for _, p in pieces] + [None]
+        for k, (a, piece) in enumerate(pieces):
+            p3, p2, p1, _, behind = words[k : k + 5]
+            core = re.match(r"(?s)^((?:[^\w@+]|[^\W\w])*)(.*\w)", piece)
+            if core:
+                places.append((i, a + core.start(2), core[2], ((p1,), (p2, p1), (p3, p2, p1), (p1, "behind", behind))))
+    key = re.compile(r"(?i)(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}")
+
+    def seed(value):
+        own = {f"{kind}:0:{len(value)}" for kind in ("email", "ip", "card")} & set(base_spans(value))
+        return bool(own) or re.match(r"\+[0-9]", value) is not None or key.fullmatch(value) is not None
+
+    seeds = {v: 1.0 for _, _, v, _ in places if seed(v)}
+    known, uses, followed, measured = dict(seeds), Counter(q for *_, ps in places for q in ps), set(), set()
+    while True:
+        occurring = Counter((q, v) for _, _, v, ps in places for q in ps if v in known)
+        support, hits = Counter(), Counter()
+        for (q, v), n in occurring.items():
+            support[q] += known[v]
+            hits[q] += n * known[v]
+        fresh = {q for q in support if round(support[q], 6) >= 3} - measured
+        if not fresh:
+            break
+        measured |= fresh
+        followed |= {q for q in fresh if hits[q] >= 0.05 * uses[q]}
+        edges = Counter((q, v) for _, _, v, ps in places for q in ps if q in followed)
+        scores = dict(seeds)
+        while True:
+            support, hits = Counter(), Counter()
+            for (q, v), n in edges.items():
+                support[q] += scores.get(v, 0)
+                hits[q] += n * scores.get(v, 0)
+            sure = {q: round(min(1.0, hits[q] / uses[q]), 6) for q in followed}
+            sure = {q: x for q, x in sure.items() if x >= 0.6 and round(support[q], 6) >= 3}
+            after = dict(seeds)
+            for q, v in edges:
+                if q in sure:
+                    after[v] = max(after.get(v, 0), sure[q])
+            if after == scores:
+                break
+            scores = after
+        if set(scores) <= set(known):
+            break
+        known = scores
+    out = {}
+    for i, a, v, ps in places if measured else ():
+        text_spans = [tuple(map(int, x.split(":")[1:])) for x in base_spans(dict(rows)[i])]
+        if any(q in sure for q in ps) and not any(x < a + len(v) and y > a for x, y in text_spans):
+            out.setdefault(i, set()).add((a, a + len(v)))
+    return {i: sorted(x) for i, x in out.items()}

@@ -123,6 +123,16 @@ def test_pieces_round_trip_and_best(odd, empty):
     assert small.encode("ab ba")[0] == pytest.approx(best("▁ab▁ba"))
 
 
+def _identifiers(rows):
+    found = {}
+    for r in rows:
+        own = sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("id:"))
+        assert len(own) == r.n_id
+        if own:
+            found[r.doc_id] = own
+    return found
+
+
 def test_pii_base(docs, texts, odd, empty):
     for frame, rows in ((docs, list(texts.items())), (odd, [r[:2] for r in ODD]), (empty, [])):
         got = pii.personal_data(frame).collect()
@@ -132,6 +142,9 @@ def test_pii_base(docs, texts, odd, empty):
             expected.append((i, *(sum(s.startswith(k + ":") for s in spans) for k in pii.KINDS), brute.sha(spans)))
         assert Counter((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in got) == Counter(expected)
         assert all([s for s in r.spans.split(",") if s and not s.startswith("id:")] == brute.base_spans(dict(rows).get(r.doc_id)) for r in got if frame is docs)
+        if frame is docs:
+            discovered = _identifiers(got)
+            assert discovered and discovered == brute.identifiers([(i, t) for i, t in texts.items() if t])
 
 
 def test_pii_contexts_discover(spark):
@@ -144,6 +157,32 @@ def test_pii_contexts_discover(spark):
     assert out[20] == "see mailto: <id> now" and out[3] == "reach me, mailto: <email> or the 3" and out[22] is None
 
 
+def test_pii_graph_against_brute(spark, monkeypatch):
+    """Patterns of every length, with and without a right side; further rounds; handles without a digit; texts of several blocks."""
+    monkeypatch.setattr(pii, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    names = ["anna", "@berta", "c_dora", "Émil", "frida.g", "x"]
+    rows, key = [], lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    for k in range(12):
+        rows.append(f"call me at {names[k % 3]}{k}@site.org now, and my id is {key()} here")
+        if k % 2:
+            rows.append(f"call me at {names[k % 6]}{'ab'[k % 4 // 2]} now")  # unseen, in the same pattern
+        rows.append(f'token = "{key()}"! the user\n{names[k % 6]}{"ab"[k % 2]}: writes')  # learnt names teach a further pattern
+        rows.append(f"the user\nnew{k}: writes (token=short{k % 3}) {' '.join(rng.choice(['the', 'a', 'at', 'is', 'me'], 30))}")
+    rows += ["", "plain text", "the end", "10.0.0.1 the user"]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    expected = brute.identifiers(list(enumerate(rows)))
+    assert _identifiers(pii.personal_data(frame).collect()) == expected
+    found = {rows[i][a:b] for i, spans in expected.items() for a, b in spans}
+    assert "@bertaa" in found and any(len(x) == 40 for x in found)
+
+
+def test_redacted_keeps_other_columns(spark):
+    rows = [(i, f"mailto: user{i}@site{i}.org", f"d{i}", [i], "s", "o", "e") for i in range(4)]
+    out = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, d1_ string, reach_ array<int>, spans_ string, of_ string, whole string"))
+    assert sorted(map(tuple, out.collect())) == [(i, "mailto: <email>", *r[2:]) for i, r in enumerate(rows)]
+
+
 def test_redacted_overlaps(odd):
     out = {r.doc_id: r for r in pii.redacted(odd).collect()}
     assert out[7].text == "mail <email><email> or <ip>.5.6.7.256 call <phone>, card <card> é <ip>"
