@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+from enum import Enum
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,18 +70,27 @@ def surrogate_key(df: DataFrame, key: str, order_by: list[str], total_order: boo
     number = [F.regexp_extract("_file", pattern, 1).cast("bigint") for pattern in (r"^part-(\d+)", r"-c(\d+)\.")]
     before = W.orderBy(*number).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    numbered = rows.join(F.broadcast(starts), "_file")
+    numbered = rows.join(starts, "_file")
     return numbered.select((F.col("_start") + F.col("_row") + 1).cast("bigint").alias(key), *[col(c) for c in names])
 
 
 # ---------------------------------------------------------------- NULL filling
 
-_AROUND_STRATEGY = re.compile(r"^\s*(?:fill:\s*)?|\s+$")
+class Fill(Enum):
+    """What fills the NULLs of a column."""
 
+    MEAN = "mean"
+    MEDIAN = "median"
+    MODE = "mode"
+    ZERO = "zero"
+    TEXT = "unknown"
 
-def fill_strategy(logic: str | None) -> str:
-    """The strategy a rule names: its logic without the mark ``fill:`` and outer blanks."""
-    return _AROUND_STRATEGY.sub("", (logic or "").lower())
+    @classmethod
+    def of_rule(cls, logic: str | None) -> Fill:
+        """The filling that a rule's logic names, with or without ``fill:`` before it; anything else fills a text."""
+        words = (logic or "").lower().split()
+        name = words[1] if len(words) == 2 and words[0] == "fill:" else words[0].removeprefix("fill:") if len(words) == 1 else ""
+        return cls.ZERO if name == "0" else next((f for f in cls if f.value == name), cls.TEXT)
 
 
 def column_means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
@@ -195,42 +204,41 @@ def _locate(cells: list, rank: int, even: bool):
 
 def fill_nulls(df: DataFrame, logic: dict[str, str]) -> DataFrame:
     """Fill the NULLs of each named column by its logic."""
-    fills = dict(zip(logic, fill_columns(df, list(logic.items()))))
+    fills = dict(zip(logic, fill_columns(df, [(c, Fill.of_rule(text)) for c, text in logic.items()])))
     return df.select(*[fills[c].alias(c) if c in fills else col(c) for c in df.columns])
 
 
-def fill_columns(df: DataFrame, wanted: list[tuple[str, str | None]]) -> list[Column]:
-    """The filled form of each (column, logic) pair; the statistics come from ``df`` as it is.
+def fill_columns(df: DataFrame, wanted: list[tuple[str, Fill]]) -> list[Column]:
+    """The filled form of each (column, filling) pair; the statistics come from ``df`` as it is.
 
     Only one number or text per column reaches the driver, where it becomes a literal of the plan.
     """
-    strategies = [(c, _usable_strategy(c, dtype_of(df, c), fill_strategy(logic))) for c, logic in wanted]
+    fills = [(c, _usable(c, dtype_of(df, c), fill)) for c, fill in wanted]
     statistics = {
-        strategy: compute(df, list(dict.fromkeys(c for c, s in strategies if s == strategy)))
-        for strategy, compute in (("mean", column_means), ("median", column_medians), ("mode", column_modes))
+        fill: compute(df, list(dict.fromkeys(c for c, f in fills if f is fill)))
+        for fill, compute in ((Fill.MEAN, column_means), (Fill.MEDIAN, column_medians), (Fill.MODE, column_modes))
     }
-    return [_filled(col(c), dtype_of(df, c), s, statistics.get(s, {}).get(c)) for c, s in strategies]
+    return [_filled(col(c), dtype_of(df, c), f, statistics.get(f, {}).get(c)) for c, f in fills]
 
 
-def _usable_strategy(column: str, dtype: T.DataType, strategy: str) -> str:
+def _usable(column: str, dtype: T.DataType, fill: Fill) -> Fill:
     numeric = isinstance(dtype, (T.NumericType, T.BooleanType))
-    if strategy == "mode" or (numeric and strategy in ("mean", "median", "0", "zero")):
-        return strategy
+    if fill is Fill.MODE or (numeric and fill is not Fill.TEXT):
+        return fill
     if not isinstance(dtype, T.StringType):
         raise ValueError(f"Column '{column}' is {dtype.simpleString()} and cannot be filled with the text 'unknown'")
-    return "unknown"
+    return Fill.TEXT
 
 
-def _filled(value: Column, dtype: T.DataType, strategy: str, statistic) -> Column:
+def _filled(value: Column, dtype: T.DataType, fill: Fill, statistic) -> Column:
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         value = F.when(~F.isnan(value), value)
-    if strategy in ("mean", "median"):
+    if fill in (Fill.MEAN, Fill.MEDIAN):
         return F.coalesce(value.cast("double"), F.lit(statistic).cast("double"))
-    if strategy in ("0", "zero"):
+    if fill is Fill.ZERO:
         return F.coalesce(value, F.lit(0).cast(dtype))
-    if strategy == "mode":
+    if fill is Fill.MODE:
         if statistic is None and isinstance(dtype, T.StringType):
-            statistic = "unknown"
+            statistic = Fill.TEXT.value
         return F.coalesce(value, F.lit(statistic).cast(dtype))
-    return F.coalesce(value, F.lit("unknown"))
-
+    return F.coalesce(value, F.lit(Fill.TEXT.value))

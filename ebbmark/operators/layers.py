@@ -14,7 +14,7 @@ from ebbmark.functions.casts import cast_lenient, to_text, to_timestamp
 from ebbmark.functions.dates import standard_date
 from ebbmark.functions.names import col, dtype_of
 from ebbmark.functions.text import normalize_text
-from ebbmark.operators.cleanse import drop_copies, drop_nulls, fill_columns, surrogate_key
+from ebbmark.operators.cleanse import Fill, drop_copies, drop_nulls, fill_columns, surrogate_key
 from ebbmark.operators.rules import Rule, missing_business_keys, rules_by_table
 
 
@@ -94,7 +94,7 @@ def _silver_table(df: DataFrame, name: str, rules: list[Rule], order_by: list[st
     key = f"pk_{name}_silver_id"
     usable = [r for r in rules if r.source_column in df.columns]
     filling = [r for r in usable if r.kind == "null_handling" and not _drops(r)]
-    fills = dict(zip(filling, fill_columns(df, [(r.source_column, r.transformation_logic) for r in filling])))
+    fills = dict(zip(filling, fill_columns(df, [(r.source_column, Fill.of_rule(r.transformation_logic)) for r in filling])))
     out: dict[str, Column] = {}
     complete: list[str] = []
     for rule in rules:

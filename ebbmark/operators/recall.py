@@ -28,6 +28,8 @@ def recall(
     The store is scanned once, by id and vector only. Each batch of it is reduced to its own nearest
     rows where it is read, so a task sends a few rows per query to the final ranking; ties go to the
     smaller id. Array arithmetic does this several times faster than an expression per element.
+    Stored vectors that are null, of another length than the query, or hold a null or a value that is not
+    finite have no distance and take no part.
     """
     id_type = store.schema[id_column].dataType.simpleString()
     names = store.sparkSession.createDataFrame(
@@ -37,9 +39,14 @@ def recall(
 
     def nearest_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, stored = batch["id"].to_numpy(), np.stack(batch["v"].to_numpy()).astype(float)
+            lengths = batch["v"].map(len).to_numpy()
             for place, vector in enumerate(vectors):
-                distances = np.sqrt(((stored - vector) ** 2).sum(axis=1))
+                own = lengths == len(vector)
+                if not own.any():
+                    continue
+                ids, stored = batch["id"].to_numpy()[own], np.stack(batch["v"].to_numpy()[own]).astype(float)
+                with np.errstate(invalid="ignore", over="ignore"):
+                    distances = np.sqrt(((stored - vector) ** 2).sum(axis=1))
                 near = _nearest(ids, distances, n_results)
                 yield pd.DataFrame({"_query": place, "id": ids[near], "distance": distances[near]})
 
@@ -53,10 +60,10 @@ def recall(
 
 
 def _nearest(ids: np.ndarray, distances: np.ndarray, n: int) -> np.ndarray:
-    """Places of the ``n`` smallest distances, the smaller id first where they tie."""
-    places = np.arange(len(ids))
-    if len(ids) > n:
-        places = places[distances <= np.partition(distances, n - 1)[n - 1]]
+    """Places of the ``n`` smallest finite distances, the smaller id first where they tie."""
+    places = np.flatnonzero(np.isfinite(distances))
+    if len(places) > n:
+        places = places[distances[places] <= np.partition(distances[places], n - 1)[n - 1]]
     return places[np.lexsort((ids[places], distances[places]))][:n]
 
 

@@ -32,10 +32,8 @@ def join_keys(left: list[str], right: list[str], keyword: str) -> tuple[str, str
     a, b = find_column(left, keyword), find_column(right, keyword)
     if a and b:
         return a, b
-    raise ValueError(
-        f"No join column for '{keyword}': left has {left}, right has {right}. "
-        "Probably the Silver rules dropped a business key; keep it with a passthrough rule."
-    )
+    without = " and ".join(f"the {side} table ({', '.join(names)})" for side, names, found in (("left", left, a), ("right", right, b)) if not found)
+    raise ValueError(f"'{keyword}' names no column of {without}, and the tables share no business key")
 
 
 def resolve_roles(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -50,29 +50,30 @@ def run_sql(spark: SparkSession, sql: str, limit: int = RECORD_LIMIT) -> str:
 
 
 def chart_data(spark: SparkSession, sql: str, x: str, y: str, chart_type: str | None = "bar", title: str = "") -> DataFrame:
-    """The x and y values of a chart with its type and a status; a failure is one row saying why."""
+    """The x and y values of a chart with its type; ``status`` is ok, failed or skipped, and ``reason`` says why where it is not ok."""
     kind = (chart_type or "bar").lower()
     kind = kind if kind in CHART_TYPES else "bar"
 
-    def shaped(status: Column, x_value: Column, y_value: Column) -> list[Column]:
+    def shaped(status: str, reason: str | None, x_value: Column, y_value: Column) -> list[Column]:
         return [
             F.lit(title).alias("title"),
             F.lit(kind).alias("chart_type"),
             x_value.cast("string").alias("x"),
             y_value.try_cast("double").alias("y"),
-            status.alias("status"),
+            F.lit(status).alias("status"),
+            F.lit(reason).cast("string").alias("reason"),
         ]
 
     try:
         result = query(spark, sql)
     except PySparkException as error:
-        problem = f"failed, as the query for '{title}' cannot run: {error}"
+        status, reason = "failed", str(error)
     else:
         if x in result.columns and y in result.columns:
-            return result.select(*shaped(F.lit("ok"), col(x), col(y)))
-        problem = f"skipped, as the query for '{title}' does not give both {x} and {y}"
+            return result.select(*shaped("ok", None, col(x), col(y)))
+        status, reason = "skipped", "no column " + " and ".join(c for c in (x, y) if c not in result.columns)
     none = F.lit(None).cast("string")
-    return spark.range(1).select(*shaped(F.lit(problem), none, none))
+    return spark.range(1).select(*shaped(status, reason, none, none))
 
 
 def report(spark: SparkSession, tables: Mapping[str, DataFrame], at_risk: list[str] | None = None) -> dict[str, DataFrame]:

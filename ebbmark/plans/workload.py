@@ -819,7 +819,7 @@ def sql_records(spark, folder):
     return records.select(F.from_json("record", "category string, order_month string, orders bigint").alias("r")).select("r.*")
 
 
-@query(f"""WITH {_SCORECARD} SELECT 'Return rate' AS title, 'line' AS chart_type, category AS x, round(return_rate, 6) AS y, 'ok' AS status FROM c""")
+@query(f"""WITH {_SCORECARD} SELECT 'Return rate' AS title, 'line' AS chart_type, category AS x, round(return_rate, 6) AS y, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM c""")
 def chart_dataset(spark, folder):
     _registered(spark, folder)
     data = sqlapi.chart_data(spark, "SELECT category, return_rate FROM category_return_performance", "category", "return_rate", "line", "Return rate")

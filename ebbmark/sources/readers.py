@@ -25,7 +25,7 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
     fmt = (fmt or file_format(path)).lower().lstrip(".")
     readers = {"csv": read_csv, "json": read_json, "xlsx": read_excel, "parquet": read_parquet}
     if fmt not in readers:
-        raise ValueError(f"Unsupported file format '.{fmt}' for {path}. Supported formats: {', '.join(FORMATS)}")
+        raise ValueError(f"{path}: nothing reads '{fmt}'; known suffixes are {' '.join(FORMATS)}")
     return readers[fmt](spark, path)
 
 
@@ -75,7 +75,7 @@ def _files_by_shape(spark: SparkSession, path: str) -> dict[str, list[str]]:
         files["lines"] = by_line
     documents = [r.file for r in counted if not r.lines]
     if documents:
-        start = F.substring(F.regexp_replace(F.substring("value", 1, 4096), r"^[\uFEFF\s]+", ""), 1, 1)
+        start = F.regexp_extract("value", r"(?s)\A[\uFEFF\s]*+(.)", 1)
         for row in spark.read.text(documents, wholetext=True).select(file, start.alias("start")).orderBy("file").collect():
             files.setdefault("list" if row.start == "[" else "object", []).append(row.file)
     return files

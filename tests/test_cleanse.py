@@ -134,3 +134,10 @@ def test_statistics_of_extreme_values(spark):
 def test_modes_of_columns_of_different_types(spark):
     df = spark.createDataFrame([(1, "b", None), (2, "b", None), (2, "a", None), (1, "a", None)], "i int, s string, d date")
     assert cleanse.column_modes(df, ["i", "s", "d"]) == {"i": 1, "s": "a", "d": None}
+
+
+def test_filling_of_a_rule():
+    from ebbmark.operators.cleanse import Fill
+
+    named = {"fill:mean": Fill.MEAN, " Fill: Median ": Fill.MEDIAN, "mode": Fill.MODE, "fill:0": Fill.ZERO, "ZERO": Fill.ZERO, "fill:unknown": Fill.TEXT, "": Fill.TEXT, None: Fill.TEXT, "other: mean": Fill.TEXT, "the mean": Fill.TEXT}
+    assert {logic: Fill.of_rule(logic) for logic in named} == named

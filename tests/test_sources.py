@@ -198,3 +198,8 @@ def test_observed_rows_come_from_the_write_itself(spark, tmp_path):
     df, seen = runlog.observe_rows(spark.range(7).toDF("n"), "obs", top=F.max("n"))
     df.write.parquet(str(tmp_path / "t"))
     assert seen.get == {"rows": 7, "top": 6}
+
+
+def test_json_list_behind_a_long_blank_run(spark, tmp_path):
+    (tmp_path / "late.json").write_text(" " * 9_000 + "\n" + '[{"data": [{"a": 1}]},\n{"data": [{"a": 2}]}]')
+    assert sorted(r.data[0].a for r in readers.read_json(spark, str(tmp_path / "late.json")).collect()) == [1, 2]

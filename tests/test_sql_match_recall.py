@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from ebbmark.operators.match import best_match, fuzzy_match
+from ebbmark.operators.similar import matching_characters, most_similar
 from ebbmark.operators.recall import recall, upsert
 from ebbmark.plans import sqlapi
 
@@ -42,8 +43,9 @@ def test_chart_data(spark, cards):
     ok = sqlapi.chart_data(spark, "SELECT category, return_rate FROM category_return_performance", "category", "return_rate", "LINE", "t").collect()
     assert sorted((r.chart_type, r.x, r.y, r.status) for r in ok) == [("line", "a", 0.5, "ok"), ("line", "b", 0.1, "ok")]
     skipped = sqlapi.chart_data(spark, "SELECT 1 AS one", "x", "y", "scatter").first()
-    assert skipped.chart_type == "bar" and "skipped" in skipped.status
-    assert "failed" in sqlapi.chart_data(spark, "SELECT * FROM nowhere", "x", "y", None).first().status
+    assert skipped.chart_type == "bar" and skipped.status == "skipped" and skipped.reason == "no column x and y"
+    failed = sqlapi.chart_data(spark, "SELECT * FROM nowhere", "x", "y", None).first()
+    assert failed.status == "failed" and "nowhere" in failed.reason and {r.reason for r in ok} == {None}
 
 
 def test_report_and_answer(spark, cards):
@@ -106,3 +108,40 @@ def test_upsert(spark):
     store = spark.createDataFrame([("a", "old", 0), ("b", "kept", 0)], "id string, doc string, at int")
     updates = spark.createDataFrame([("a", "newer", 2), ("a", "new", 1), ("c", "added", 1)], store.schema)
     assert sorted(tuple(r) for r in upsert(store, updates, "id", "at").collect()) == [("a", "newer", 2), ("b", "kept", 0), ("c", "added", 1)]
+
+
+def test_matching_characters_equal_the_matching_blocks(spark):
+    rng = random.Random(2)
+    word = lambda most: "".join(rng.choice("abcdeé ") for _ in range(rng.randrange(1, most)))
+    pairs = spark.createDataFrame([(word(16), word(16)) for _ in range(600)] + [("abab" * 20, "baba" * 20)], "a string, b string")
+    for r in pairs.select("a", "b", matching_characters("a", "b").alias("n")).collect():
+        assert r.n == sum(m.size for m in difflib.SequenceMatcher(None, r.a, r.b, autojunk=False).get_matching_blocks())
+
+
+@pytest.mark.parametrize("cutoff", [0.0, 0.5, 0.8, 1.0])
+def test_most_similar_loses_no_pair(spark, cutoff):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9)))
+    candidates, names = sorted({word() for _ in range(40)}), sorted({word() for _ in range(150)})
+    expected = {}
+    for name in names:
+        rated = [(difflib.SequenceMatcher(None, c, name).ratio(), c) for c in candidates]
+        # a pair without any common character has ratio 0 and is no pair
+        ratio, c = max((r for r in rated if r[0] >= cutoff and r[0] > 0), default=(None, None))
+        if c is not None:
+            expected[name] = c, ratio
+    got = most_similar(spark.createDataFrame([(n,) for n in names], "wanted string"), candidates, cutoff).collect()
+    assert {r.wanted: (r.similar, r.ratio) for r in got} == expected
+
+
+def test_similar_names_need_no_python(spark):
+    plan = fuzzy_match(spark.createDataFrame([("ordrs",)], "n string"), "n", TABLES)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_recall_leaves_vectors_without_distance_out(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(i, [nan, 1.0]) for i in range(3, 9)] + [(1, [0.0, 1.0]), (2, [0.0, 3.0]), (9, [inf, 0.0]), (10, [1.0]), (11, []), (12, None), (13, [None, 1.0]), (14, [0.0, 1.0, 2.0])]
+    store = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = [(r.query_id, r.rank, r.vec_id, r.distance) for r in recall(store, [("q", [0.0, 0.0]), ("three", [0.0, 0.0, 0.0])]).collect()]
+    assert sorted(got) == [("q", 1, 1, 1.0), ("q", 2, 2, 3.0), ("three", 1, 14, 5.0**0.5)]
