@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbmark.functions.names import col
+from ebbmark.sources.csv_blocks import read_spanning
 from ebbmark.sources.infer import infer_types
 from ebbmark.sources.workbook import read_excel
 
@@ -32,14 +33,15 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None) -> DataFram
 def read_csv(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """CSV with a header; types are inferred, date-like text stays text.
 
-    A file is split over many tasks unless some record spans lines. ``multiline=None`` finds that
-    out: a record that spans lines leaves a line with an odd number of quotes.
+    A file is split over many tasks, also where records span lines. ``multiline=None`` finds out whether any
+    does: a record that spans lines leaves a line with an odd number of quotes.
     """
     if multiline is None:
         quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
         multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    raw = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"', multiLine=multiline)
-    return infer_types(raw)
+    if multiline:
+        return infer_types(read_spanning(spark, path))
+    return infer_types(spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"'))
 
 
 def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
