@@ -178,12 +178,15 @@ def sure_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     were followed; both written. Nothing is found if no pattern was followed.
 
     Seeds induce patterns, sure patterns teach identifiers, and these induce further patterns wherever they stand, until none is
-    new. A pattern is counted over all texts before it moves, and only if a known identifier stands in it often enough.
+    new. Only identifiers with a digit, ``@`` or ``_`` do so: a plain word that once stood in a sure pattern stands everywhere. Their places
+    are found in one pass, so a further round reads the texts for its new patterns alone. A pattern is counted over all texts
+    before it moves, and only if a known identifier stands in it often enough.
     """
     stream = _stream(texts)
-    spotted = _stream(texts.where(F.col("text_").rlike("[0-9@]"))).where(F.col("piece").rlike("[0-9@]")).withColumn("value", _core()).where(is_seed(F.col("value")))
-    places = stage(_with_patterns(spotted, "value").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "pii-seed-places")
-    seeds = stage(places.select("value", F.lit(1.0).alias("weight")).distinct(), "pii-seeds")
+    marked = "[0-9@_]"
+    spotted = _stream(texts.where(F.col("text_").rlike(marked))).where(F.col("piece").rlike(marked)).withColumn("value", _core()).where(F.col("value").rlike(marked))
+    places = stage(_with_patterns(spotted, "value").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "pii-places")
+    seeds = stage(places.select("value").distinct().where(is_seed(F.col("value"))).select("value", F.lit(1.0).alias("weight")), "pii-seeds")
     known, measured, spots, uses = seeds, None, None, None
     start = F.col("base") + F.length(F.array_join(F.slice("block", F.lit(1), F.col("j")), "")) + F.length(F.regexp_extract("piece", CORE, 1))
     while True:
@@ -197,6 +200,8 @@ def sure_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         measured = induced.select("pattern") if measured is None else measured.unionByName(induced.select("pattern"))
         counted = _perhaps(_with_patterns(stream), "pattern", induced).groupBy("pattern").agg(F.count(F.lit(1)).alias("uses"))
         followed = stage(counted.join(induced, "pattern").where(F.col("hits") >= LEAST_PART * F.col("uses")).select("pattern", "uses"), "pii-followed")
+        if followed.limit(1).count() == 0:
+            break
         found = _perhaps(_with_patterns(stream, "doc_id", "d1", "d2", "base", "block", "j", "piece"), "pattern", followed)
         found = found.select("doc_id", "d1", "d2", start.alias("start"), _core().alias("value"), "pattern").where("value <> ''")
         found = stage(found.join(followed.select("pattern"), "pattern").select("doc_id", "d1", "d2", "start", "value", "pattern"), "pii-spots")
@@ -204,12 +209,6 @@ def sure_patterns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         uses = followed if uses is None else uses.unionByName(followed)
         edges = stage(spots.groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")), "pii-edges")
         sure, learnt = scored_graph(edges, uses, seeds)
-        fresh = stage(learnt.join(known, "value", "left_anti"), "pii-fresh")
-        if fresh.limit(1).count() == 0:
-            break
-        more = _perhaps(stream.withColumn("value", _core()), "value", fresh)
-        more = _with_patterns(more, "value").groupBy("pattern", "value").agg(F.count(F.lit(1)).alias("n")).join(fresh.select("value"), "value")
-        places = stage(places.unionByName(more.select("pattern", "value", "n")), "pii-places")
         known = stage(seeds.unionByName(learnt).groupBy("value").agg(F.max("weight").alias("weight")), "pii-known")
     if spots is None:
         spark, kind = texts.sparkSession, texts.schema["doc_id"].dataType.simpleString()

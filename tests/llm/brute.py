@@ -169,7 +169,7 @@ def identifiers(rows):
     seeds = {v: 1.0 for _, _, v, _ in places if seed(v)}
     known, uses, followed, measured = dict(seeds), Counter(q for *_, ps in places for q in ps), set(), set()
     while True:
-        occurring = Counter((q, v) for _, _, v, ps in places for q in ps if v in known)
+        occurring = Counter((q, v) for _, _, v, ps in places for q in ps if v in known and re.search("[0-9@_]", v))
         support, hits = Counter(), Counter()
         for (q, v), n in occurring.items():
             support[q] += known[v]
@@ -178,7 +178,10 @@ def identifiers(rows):
         if not fresh:
             break
         measured |= fresh
-        followed |= {q for q in fresh if hits[q] >= 0.05 * uses[q]}
+        further = {q for q in fresh if hits[q] >= 0.05 * uses[q]}
+        if not further:
+            break
+        followed |= further
         edges = Counter((q, v) for _, _, v, ps in places for q in ps if q in followed)
         scores = dict(seeds)
         while True:
@@ -195,11 +198,9 @@ def identifiers(rows):
             if after == scores:
                 break
             scores = after
-        if set(scores) <= set(known):
-            break
         known = scores
     out = {}
-    for i, a, v, ps in places if measured else ():
+    for i, a, v, ps in places if followed else ():
         text_spans = [tuple(map(int, x.split(":")[1:])) for x in base_spans(dict(rows)[i])]
         if any(q in sure for q in ps) and not any(x < a + len(v) and y > a for x, y in text_spans):
             out.setdefault(i, set()).add((a, a + len(v)))
