@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -248,7 +247,7 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda t, x: t + x)
     kept, turn = max(BEAM, 2 * most), 0
     # a node is scored once per query, also if it does not stay among the best
-    scored_once: list[DataFrame] = [beam.select("query", "node")]
+    met = scratch.stage(beam.select("query", "node"), "met")
     both = _arrow("query long, node long, score float, seen boolean")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +265,8 @@ def nearest(vectors: DataFrame, queries: str, *, most: int = NEAREST, id_col: st
             break
         reached = fresh.join(lists, "node").select("query", F.explode("others").alias("node"))
         reached = (reached if turn else reached.unionByName(entries)).distinct()
-        reached = reached.join(reduce(DataFrame.unionByName, scored_once), ["query", "node"], "left_anti")
-        reached = scratch.stage(reached, f"reached-{turn}")
-        scored_once.append(reached)
+        reached = scratch.stage(reached.join(met, ["query", "node"], "left_anti"), "reached")
+        met = scratch.stage(met.unionByName(reached), "met")
         scored = reached.join(originals.withColumnRenamed("vector", "v"), "node").join(asking.withColumnRenamed("vector", "q"), "query")
         scored = scored.select("query", "node", "v", "q").mapInArrow(score, "query long, node long, score float, seen boolean")
         marked = beam.join(fresh.withColumn("now", F.lit(True)), ["query", "node"], "left")
