@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbmark.functions.names import col
+from ebbmark.sources import json_blocks
 from ebbmark.sources.csv_blocks import read_spanning
 from ebbmark.sources.infer import infer_types
 from ebbmark.sources.workbook import read_excel
@@ -49,53 +50,40 @@ def read_json(spark: SparkSession, path: str, lines: bool | None = None) -> Data
 
     Each file of a folder is read by its own shape; columns that a shape lacks are NULL, and a column whose
     types do not go together becomes text. ``lines`` says that all files are JSON lines and saves the look at
-    them. A single document cannot be split, so large inputs should be many files or JSON lines.
+    them. Lists, also wrapped ones, are read by many tasks a file; an object without such a list is one record.
     """
     if lines:
         return flatten(spark.read.json(path, mode="FAILFAST"))
-    files = _files_by_shape(spark, path)
+    found = json_blocks.shapes(spark, path)
+    by_line = _files_of_lines(spark, [file for file, shape in found.items() if shape.values != 1])
+    rest = {file: shape for file, shape in found.items() if file not in by_line}
+    lists = {file: shape for file, shape in rest.items() if shape.values == 1 and shape.first == "["}
+    several = {file: shape for file, shape in rest.items() if shape.values > 1}
+    objects = {file: shape for file, shape in rest.items() if file not in lists and file not in several}
     parts = []
-    if "lines" in files:
-        parts.append(spark.read.json(files["lines"], mode="FAILFAST"))
-    if "list" in files:
-        parts.append(spark.read.json(files["list"], multiLine=True, mode="FAILFAST"))
-    if "object" in files:
-        parts += unwrap_envelopes(spark.read.json(files["object"], multiLine=True, mode="FAILFAST"))
+    if by_line:
+        parts.append(spark.read.json(by_line, mode="FAILFAST"))
+    if lists:
+        parts.append(json_blocks.read_records(spark, lists, 1))
+    if several:
+        parts.append(json_blocks.read_records(spark, several, 0))
+    if objects:
+        wrapped, single = json_blocks.read_wrapped(spark, objects, ENVELOPE_FIELDS)
+        parts += wrapped
+        if single:
+            parts.append(spark.read.json(single, multiLine=True, mode="FAILFAST"))
     if not parts:  # nothing but blank files
         return spark.read.json(path, multiLine=True, mode="FAILFAST")
     return _stacked([flatten(part) for part in parts])
 
 
-def _files_by_shape(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """The files of ``path`` that hold JSON lines, a list, or one object. Only file names reach the driver."""
-    file = F.col("_metadata.file_path").alias("file")
-    text = spark.read.text(path).where(F.trim("value") != "").select(file, F.try_parse_json("value").isNotNull().alias("whole"))
+def _files_of_lines(spark: SparkSession, files: list[str]) -> list[str]:
+    """Those of ``files`` that hold more than one line, each of them JSON by itself. Only file names reach the driver."""
+    if not files:
+        return []
+    text = spark.read.text(files).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").isNotNull().alias("whole"))
     counts = text.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("wholes"))
-    counted = counts.select("file", ((F.col("n") > 1) & (F.col("n") == F.col("wholes"))).alias("lines")).collect()
-    files: dict[str, list[str]] = {}
-    if by_line := sorted(r.file for r in counted if r.lines):
-        files["lines"] = by_line
-    documents = [r.file for r in counted if not r.lines]
-    if documents:
-        start = F.regexp_extract("value", r"(?s)\A[\uFEFF\s]*+(.)", 1)
-        for row in spark.read.text(documents, wholetext=True).select(file, start.alias("start")).orderBy("file").collect():
-            files.setdefault("list" if row.start == "[" else "object", []).append(row.file)
-    return files
-
-
-def unwrap_envelopes(df: DataFrame) -> list[DataFrame]:
-    """For each row the records inside its first envelope field that is a list; rows without one as they are."""
-    types = {name: df.schema[name].dataType for name in ENVELOPE_FIELDS if name in df.columns}
-    lists = [name for name, kind in types.items() if isinstance(kind, T.ArrayType)]
-    parts, open_rows = [], df
-    for name in lists:
-        if not isinstance(types[name].elementType, T.StructType):
-            raise ValueError(f"The list '{name}' does not hold records")
-        parts.append(open_rows.where(col(name).isNotNull()).select(F.inline(col(name))))
-        open_rows = open_rows.where(col(name).isNull())
-    if not lists or not open_rows.isEmpty():
-        parts.append(open_rows.drop(*lists))
-    return parts
+    return [r.file for r in counts.where("n > 1 and n = wholes").orderBy("file").collect()]
 
 
 def _stacked(parts: list[DataFrame]) -> DataFrame:

@@ -1,0 +1,67 @@
+"""JSON documents read in blocks."""
+
+import json
+import random
+
+import pytest
+
+from ebbmark.sources import json_blocks, readers
+
+
+@pytest.fixture
+def small_blocks(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "1500", "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _records(rng, n):
+    text = lambda: rng.choice(["plain", 'a "quote" \\ and \\" more', "br{ack[et}s]}", "}" * rng.randrange(900), "é漢\n{", "", "ends in \\", '"', ", "])
+    return [{"id": i, "text": text(), "in": {"list": [{"x": text()}, {"x": "}"}], "deep": {"y": rng.random()}}} for i in range(n)]
+
+
+def _got(spark, path):
+    rows = readers.read_json(spark, str(path)).collect()
+    return sorted((r.id, r.text, [x.x for x in r["in.list"]], r["in.deep.y"]) for r in rows)
+
+
+def _due(records):
+    return sorted((r["id"], r["text"], [x["x"] for x in r["in"]["list"]], r["in"]["deep"]["y"]) for r in records)
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_shapes_over_many_blocks(spark, tmp_path, small_blocks, indent):
+    records = _records(random.Random(indent or 0), 30)
+    dump = lambda x: json.dumps(x, indent=indent, ensure_ascii=indent is None)
+    shapes = {
+        "list": dump(records) + "\n",
+        "wrapped": dump({"note": 'with "data": [ in } it', "more": [[1], {"data": [2]}], "data": records, "records": [{"other": 1}], "at": {"items": [3]}}),
+        "later": dump({"data": {"no": "list"}, "items": records, "total": 1}) + " ",
+        "behind": "\n\n".join(map(dump, records)),
+        "bom": "﻿" + dump(records),
+    }
+    for name, text in shapes.items():
+        path = tmp_path / f"{name}.json"
+        path.write_text(text, encoding="utf-8")
+        assert _got(spark, path) == _due(records), name
+
+
+def test_one_line_is_read_by_many_tasks(spark, tmp_path, small_blocks):
+    records = _records(random.Random(9), 160)
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps({"items": records}))
+    found = json_blocks.shapes(spark, str(path))
+    assert [len(s.blocks) > 20 for s in found.values()] == [True]
+    assert json_blocks._cut(spark, found, 2).rdd.getNumPartitions() > 20
+    assert _got(spark, path) == _due(records)
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}, {"a": 2}', '{"data": [{"a": 1}]', '[{"a": 1}, oops, {"a": 2}]', '[{"a": 1}{"a"}]', '{"data": [{"a": 1}, {"a" 2}]}', '{"a": 1'])
+def test_broken_documents_are_errors(spark, tmp_path, text):
+    (tmp_path / "broken.json").write_text(text)
+    with pytest.raises(Exception):  # noqa: B017, PT011
+        readers.read_json(spark, str(tmp_path / "broken.json")).collect()
