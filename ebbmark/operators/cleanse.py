@@ -14,6 +14,9 @@ from ebbmark.functions.names import col, dtype_of
 from ebbmark.session import stage
 
 MEDIAN_BUCKETS = 1024
+#: Error of the quantile sketch (one in so many rows), and how far the brackets tried in turn reach from the middle, as shares of all rows.
+SKETCH = 2_000
+BRACKETS = (0.002, 0.05)
 
 
 # ---------------------------------------------------------------- rows
@@ -127,44 +130,70 @@ def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
-    """Exact medians without sorting and without holding the values of a column in one task.
+    """Exact medians in two scans of the data, however many columns; no values of a column gather in one task.
 
-    Each pass splits the value range that still holds the middle rows into a fixed number of
-    buckets and counts them; the next pass looks only into the bucket of the middle row. Wide ranges
-    are split by magnitude, so values of any spread take a few passes. A pass hands the driver at
-    most ``MEDIAN_BUCKETS`` small rows per column, whatever the data size.
+    The first scan keeps a quantile sketch per column, whose values around the middle are a bracket. The second one counts what
+    lies below the bracket and how often each value in it stands. If these exact counts show that a bracket
+    misses a middle row, it is widened and counted again. What is left is done on the written counts: each pass splits the
+    range that still holds the middle rows into a fixed number of buckets, so the driver gets at most ``MEDIAN_BUCKETS`` small
+    rows per column, whatever the data size.
     """
     if not columns:
         return {}
     value = {c: finite(col(c).cast("double")) for c in columns}
-    ends = df.agg(*[
-        F.struct(F.min(value[c]).alias("lo"), F.max(value[c]).alias("hi"), F.count(value[c]).alias("n")).alias(str(i))
+    sketched = df.agg(*[
+        F.struct(F.count(value[c]).alias("n"), F.percentile_approx(value[c], [0.5 - w for w in BRACKETS] + [0.5 + w for w in BRACKETS], SKETCH).alias("at")).alias(str(i))
         for i, c in enumerate(columns)
     ]).first()
-    medians: dict[str, float | None] = {}
-    # column -> (lowest and highest value still possible, rank of the lower middle row among them)
-    open_ranges = {}
-    for c, end in zip(columns, ends):
-        if not end.n:
-            medians[c] = None
-        elif end.lo == end.hi:
-            medians[c] = end.lo
-        else:
-            open_ranges[c] = (end.lo, end.hi, (end.n - 1) // 2, end.n % 2 == 0)
-    while open_ranges:
-        cells: dict[str, list] = {c: [] for c in open_ranges}
-        for row in _bucket_counts(df, value, open_ranges).collect():
-            cells[row.column].append(row)
-        for c, (_, _, rank, even) in list(open_ranges.items()):
-            found = _locate(sorted(cells[c], key=lambda r: r.bucket), rank, even)
-            if isinstance(found, float):
-                medians[c] = found
-                del open_ranges[c]
+    medians: dict[str, float | None] = {c: None for c, found in zip(columns, sketched) if not found.n}
+    # the last bracket is the whole line
+    brackets = {c: [*zip(found.at, found.at[len(BRACKETS):]), (None, None)] for c, found in zip(columns, sketched) if found.n}
+    rows = {c: found.n for c, found in zip(columns, sketched)}
+    while brackets:
+        counts = stage(_bracket_counts(df, value, {c: ends[0] for c, ends in brackets.items()}), "median-counts")
+        inside = F.col("v").isNotNull()
+        sides = counts.groupBy("column").agg(
+            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("below"), F.sum(F.when(inside, F.col("n")).otherwise(0)).alias("within"),
+            F.min("v").alias("lo"), F.max("v").alias("hi"),
+        )
+        # column -> (lowest and highest value still possible, rank of the lower middle row among them, whether there are two)
+        open_ranges = {}
+        for side in sides.collect():
+            n = rows[side.column]
+            lower, upper = (n - 1) // 2, n // 2
+            if not side.below <= lower or not upper < side.below + side.within:
+                brackets[side.column].pop(0)
+                continue
+            del brackets[side.column]
+            if side.lo == side.hi:
+                medians[side.column] = side.lo
             else:
-                open_ranges[c] = (*found, even)
+                open_ranges[side.column] = (side.lo, side.hi, lower - side.below, n % 2 == 0)
+        while open_ranges:
+            cells: dict[str, list] = {c: [] for c in open_ranges}
+            for row in _bucket_counts(counts, open_ranges).collect():
+                cells[row.column].append(row)
+            for c, (_, _, rank, even) in list(open_ranges.items()):
+                found = _locate(sorted(cells[c], key=lambda r: r.bucket), rank, even)
+                if isinstance(found, float):
+                    medians[c] = found
+                    del open_ranges[c]
+                else:
+                    open_ranges[c] = (*found, even)
     return medians
 
 
+def _bracket_counts(df: DataFrame, value: dict[str, Column], brackets: dict) -> DataFrame:
+    """``column, v, n``: how often each value of a bracket stands, and, without a value, how many lie below it."""
+    cells = []
+    for c, (lo, hi) in brackets.items():
+        below = F.lit(False) if lo is None else value[c] < lo
+        up_to = value[c].isNotNull() if hi is None else value[c] <= hi
+        cells.append(F.when(up_to, F.struct(F.lit(c).alias("column"), F.when(~below, value[c]).alias("v"))))
+    flat = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
+    return flat.groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _magnitude(value: Column) -> Column:
     """An order-keeping measure of a double that grows with the logarithm of its size, on both sides of 0.
 
@@ -174,18 +203,17 @@ def _magnitude(value: Column) -> Column:
     return F.when(value == 0, F.lit(0.0)).otherwise(F.signum(value) * size)
 
 
-def _bucket_counts(df: DataFrame, value: dict[str, Column], ranges: dict) -> DataFrame:
-    cells = []
+def _bucket_counts(counts: DataFrame, ranges: dict) -> DataFrame:
+    bucket = F.lit(None).cast("int")
+    v = F.col("v")
     for c, (lo, hi, _, _) in ranges.items():
         narrow = lo > 0 and hi / 16 <= lo or hi < 0 and lo / 16 >= hi
-        place, least, most = (f(x) for f in ((lambda x: x) if narrow else _magnitude,) for x in (value[c], F.lit(lo), F.lit(hi)))
-        bucket = F.floor((place - least) / (most - least) * MEDIAN_BUCKETS).cast("int")
-        bucket = F.least(F.greatest(bucket, F.lit(0)), F.lit(MEDIAN_BUCKETS - 1))
-        cells.append(F.when(value[c].between(lo, hi), F.struct(F.lit(c).alias("column"), bucket.alias("bucket"), value[c].alias("v"))))
-    flat = df.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.*")
-    return flat.groupBy("column", "bucket").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
-    )
+        place, least, most = (f(x) for f in ((lambda x: x) if narrow else _magnitude,) for x in (v, F.lit(lo), F.lit(hi)))
+        at = F.floor((place - least) / (most - least) * MEDIAN_BUCKETS).cast("int")
+        at = F.least(F.greatest(at, F.lit(0)), F.lit(MEDIAN_BUCKETS - 1))
+        bucket = F.when((F.col("column") == c) & v.between(lo, hi), at).otherwise(bucket)
+    placed = counts.withColumn("bucket", bucket).where(F.col("bucket").isNotNull())
+    return placed.groupBy("column", "bucket").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
 
 
 def _locate(cells: list, rank: int, even: bool):

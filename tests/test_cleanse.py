@@ -141,3 +141,18 @@ def test_filling_of_a_rule():
 
     named = {"fill:mean": Fill.MEAN, " Fill: Median ": Fill.MEDIAN, "mode": Fill.MODE, "fill:0": Fill.ZERO, "ZERO": Fill.ZERO, "fill:unknown": Fill.TEXT, "": Fill.TEXT, None: Fill.TEXT, "other: mean": Fill.TEXT, "the mean": Fill.TEXT}
     assert {logic: Fill.of_rule(logic) for logic in named} == named
+
+
+@pytest.mark.parametrize("brackets", [(0.0,), (0.002, 0.05)])
+def test_medians_where_the_bracket_misses(spark, monkeypatch, brackets):
+    """A sketch too coarse for its bracket costs another scan, never the result; a good one needs one scan for all columns."""
+    rng = random.Random(4)
+    rows = [(rng.gauss(0, 1e6), rng.choice([1.0, 2.0, 3.0]), rng.lognormvariate(0, 9) if rng.random() < 0.9 else None) for _ in range(5_001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(8)
+    scans, counted = [], cleanse._bracket_counts
+    monkeypatch.setattr(cleanse, "BRACKETS", brackets)
+    monkeypatch.setattr(cleanse, "SKETCH", 3 if brackets == (0.0,) else 2_000)
+    monkeypatch.setattr(cleanse, "_bracket_counts", lambda *args: scans.append(1) or counted(*args))
+    due = {c: statistics.median([r[i] for r in rows if r[i] is not None]) for i, c in enumerate("abc")}
+    assert cleanse.column_medians(df, ["a", "b", "c"]) == due
+    assert len(scans) == (2 if brackets == (0.0,) else 1)
