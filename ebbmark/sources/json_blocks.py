@@ -77,7 +77,7 @@ def shapes(spark: SparkSession, path: str | list[str]) -> dict[str, Shape]:
             for file, start, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 state = found.setdefault((file, start, size), [0, "", _Case(False), _Case(True)])
                 state[0] += (len(text) if text.isascii() else len(text.encode())) + 1
-                state[1] = state[1] or text.lstrip("﻿ \t\r\n")[:1]
+                state[1] = state[1] or text.lstrip("\ufeff \t\r\n")[:1]
                 parts = (_ESCAPED.sub("", text) if "\\" in text else text).split('"')
                 state[2].follow(parts)
                 state[3].follow(parts)
