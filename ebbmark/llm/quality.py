@@ -19,8 +19,8 @@ MOST_REPEATED = 50  # per cent of the words
 
 #: A document stays if at least this share of its words stands in content lines.
 CONTENT_SHARE = 0.5
-#: The field is fitted on at most so many labelled documents, and so many lines of each.
-FIT_DOCS, FIT_LINES = 3000, 100
+#: The field is fitted on at most so many labelled documents, whole, as runs of at most ``RUN_LINES`` lines; of more than ``FIT_RUNS`` runs, on so many.
+FIT_DOCS, RUN_LINES, FIT_RUNS = 3000, 100, 6000
 FEATURES = ("one", "length", "symbols", "shouting", "repeats", "exclaims", "digits", "word_length", "closed", "seen", "short")
 
 
@@ -127,21 +127,31 @@ def judge(text: str, field: LineField) -> tuple[int, int, int, int, int, bool, b
     return total, chars, symbols, equal, repeats, failed, not failed and share >= CONTENT_SHARE, len(sizes), share, labels
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_lines: int = FIT_LINES) -> LineField:
+def fit_field(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS, most_runs: int = FIT_RUNS) -> LineField:
     """Fit the field on a bounded sample of labelled documents (``labels``: doc_id, quality 1 good or 0 bad).
 
-    The sample is the labelled documents with the smallest hashes of their ids, the same at every run. A line
-    starts with its document's label; after a first fit, lines of bad documents that the field holds for
+    The sample is the labelled documents with the smallest hashes of their ids, the same at every run. All lines
+    of a text count: a long text is several sequences of ``RUN_LINES`` lines. If the sample holds more than
+    ``most_runs`` of them, those with the smallest hashes of id and place are taken, from all over the texts.
+    A line starts with its document's label; after a first fit, lines of bad documents that the field holds for
     content are content. Null labels and ids take no part. Without both kinds, ``PRIOR`` is returned.
     """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
-    texts = whole_texts(docs).join(F.broadcast(sample), "doc_id").select("quality", "text")
+    texts = whole_texts(docs).join(F.broadcast(sample), "doc_id").select("quality", F.xxhash64("doc_id").alias("of"), "text")
 
     def rows(c: list[list]) -> list[list]:
-        return [c[0], [[x for f in lines_of(t.encode())[0][:most_lines] for x in f] for t in c[1]]]
-
-    found = [(r.quality, np.array(r.features).reshape(-1, len(FEATURES))) for r in map_texts(texts, rows, "quality int, features array<double>").toLocalIterator() if r.features]
+        out: list[list] = [[], [], [], []]
+        for kind, of, text in zip(*c, strict=True):
+            lines = lines_of(text.encode())[0]
+            for place, at in enumerate(range(0, len(lines), RUN_LINES)):
+                for column, value in zip(out, (kind, of, place, [x for f in lines[at : at + RUN_LINES] for x in f]), strict=True):
+                    column.append(value)
+        return out
+
+    runs = map_texts(texts, rows, "quality int, of long, place int, features array<double>")
+    runs = runs.orderBy(F.xxhash64("of", "place"), "of", "place").limit(most_runs)
+    found = [(r.quality, np.array(r.features).reshape(-1, len(FEATURES))) for r in runs.select("quality", "features").toLocalIterator()]
     found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     if {q for q, _ in found} != {0, 1}:
         return PRIOR
@@ -209,7 +219,11 @@ def op1(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the rules keep, all columns as they were."""
+    """The documents that the rules keep, all columns as they were.
+
+    Null, empty and wordless texts go; repeated rows and equal ids are judged one by one; nulls in other columns
+    and further columns are passed on; an empty table stays empty. A very long text is judged whole.
+    """
     field = fit_field(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     types = docs.schema
 
