@@ -12,23 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from ebbmark.llm.common import map_texts, whole_texts
 
 MARK = "▁"
-#: Parts whose encoding a task remembers at a time.
-KNOWN_PARTS = 200_000
+#: Parts whose encoding a task remembers at a time, and the most characters of such a part: together they bound the memory.
+KNOWN_PARTS, LONGEST_KNOWN = 200_000, 48
 #: How far a character outside the pieces lies below the lowest piece score.
 UNKNOWN_GAP = 10.0
+#: What an unknown piece decodes to, as the public library writes it.
+UNKNOWN_TEXT = " ⁇ "
 
 
 class PieceCodec:
     """Best-scored segmentation of a text into the pieces of a model, and back.
 
     The automaton reports, at each character, every piece that ends there (its output links); each one relaxes
-    the best score of that position. A character that no piece covers becomes its UTF-8 byte pieces. Equal
+    the best score of that position. A character that no piece covers becomes its UTF-8 byte pieces; in a model
+    without all 256 of them, a run of such characters becomes one unknown piece, which does not decode to them. Equal
     scores prefer the longer last piece. Where no piece has a space mark behind another character, the best
     segmentation of a text is that of its parts (spaces and the word behind them), which are remembered.
     """
 
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
-        #: text, score and kind (``normal``, ``byte`` or other) by id.
+        #: text, score and kind (``normal``, ``byte``, ``unknown`` or other) by id.
         self.pieces = pieces
 
     def __getstate__(self):
@@ -39,7 +42,7 @@ class PieceCodec:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
-        kind = lambda i: "byte" if m.is_byte(i) else "other" if m.is_control(i) or m.is_unknown(i) or m.is_unused(i) else "normal"
+        kind = lambda i: "byte" if m.is_byte(i) else "unknown" if m.is_unknown(i) else "other" if m.is_control(i) or m.is_unused(i) else "normal"
         return cls([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
 
     @cached_property
@@ -57,13 +60,25 @@ class PieceCodec:
     def bytes_of(self) -> dict[int, int]:
         return {int(piece[3:5], 16): i for i, (piece, _, kind) in enumerate(self.pieces) if kind == "byte"}
 
+    @cached_property
+    def unknown_id(self) -> int | None:
+        """The unknown piece of a model that cannot spell every byte, else none."""
+        if len(self.bytes_of) == 256:
+            return None
+        found = next((i for i, (_, _, kind) in enumerate(self.pieces) if kind == "unknown"), None)
+        if found is None:
+            raise ValueError("the model has neither a piece for every byte nor an unknown piece")
+        return found
+
     @cached_property
     def unknown_score(self) -> float:
         return min(score for _, score, kind in self.pieces if kind == "normal") - UNKNOWN_GAP
 
     @cached_property
     def by_part(self) -> bool:
-        return not any(MARK in piece.lstrip(MARK) for piece, _, kind in self.pieces if kind == "normal")
+        normal = {piece for piece, _, kind in self.pieces if kind == "normal"}
+        # a mark that is no piece could lie inside a run of unknown characters
+        return (self.unknown_id is None or MARK in normal) and not any(MARK in piece.lstrip(MARK) for piece in normal)
 
     @cached_property
     def _known(self) -> dict[str, tuple[float, array]]:
@@ -89,14 +104,17 @@ class PieceCodec:
             if total > best[end] or (total == best[end] and length > back[end][0]):
                 best[end], back[end] = total, (length, i)
         step(n)
-        ids, end = [], n
+        ids, end, unknown_id = [], n, self.unknown_id
         while end:
             length, i = back[end]
             if i >= 0:
                 ids.append(i)
+            elif unknown_id is not None:
+                if end == n or back[after][1] >= 0:
+                    ids.append(unknown_id)
             else:
                 ids.extend(self.bytes_of[b] for b in reversed(marked[end - 1 : end].encode()))
-            end -= length
+            after, end = end, end - length
         return best[n], array("i", reversed(ids))
 
     def encode(self, text: str) -> tuple[float, array]:
@@ -109,16 +127,19 @@ class PieceCodec:
         for part in re.findall(" +[^ ]*", " " + text):
             found = known.get(part)
             if found is None:
-                if len(known) >= KNOWN_PARTS:
-                    known.clear()
-                found = known[part] = self.search(part.replace(" ", MARK))
+                found = self.search(part.replace(" ", MARK))
+                if len(part) <= LONGEST_KNOWN:
+                    if len(known) >= KNOWN_PARTS:
+                        known.clear()
+                    known[part] = found
             total += found[0]
             ids += found[1]
         return total, ids
 
     @cached_property
     def _as_bytes(self) -> list[bytes]:
-        return [bytes([int(p[3:5], 16)]) if kind == "byte" else p.replace(MARK, " ").encode() for p, _, kind in self.pieces]
+        texts = {"byte": lambda p: bytes([int(p[3:5], 16)]), "unknown": lambda p: UNKNOWN_TEXT.encode()}
+        return [texts.get(kind, lambda p: p.replace(MARK, " ").encode())(p) for p, _, kind in self.pieces]
 
     def decode(self, ids) -> str:
         """The text of ``ids``, without the space put before it; bytes that are no UTF-8 become U+FFFD."""
