@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ebbmark.llm.common import map_texts, whole_texts
 from ebbmark.session import scratch_path, stage
 
-#: Words whose count a task remembers at a time.
-KNOWN_WORDS = 400_000
+#: Words whose count a task remembers at a time, and the most characters of such a word: together they bound the memory.
+KNOWN_WORDS, LONGEST_KNOWN = 400_000, 48
 
 CACHE_SCHEMA = "tokenizer string, d1 long, d2 long, n_bytes long, n_tokens long"
 
@@ -65,6 +65,9 @@ class PieceCounter:
                 known.update(zip(new, map(len, library.encode(new, num_threads=1)), strict=True))
                 known[""] = 1
             found.append(sum(map(known.__getitem__, parts)))
+            for p in new:
+                if len(p) > LONGEST_KNOWN:
+                    del known[p]
         return found
 
 
