@@ -22,8 +22,8 @@ REPORT = "said says wrote called quoted reported claimed sagte schrieb nannte di
 
 #: The lexicon and the weights are learnt from at most so many labelled documents.
 FIT_DOCS = 8_000
-#: Shortest and longest stems of the lexicon, the least toxic documents of an entry, and the most entries.
-STEM, LONGEST_STEM, SUPPORT, ENTRIES = 4, 8, 6, 50_000
+#: Shortest and longest stems of the lexicon, and the least toxic documents of an entry.
+STEM, LONGEST_STEM, SUPPORT = 4, 8, 6
 #: Least log odds of an entry.
 LEAST_ODDS = 2.0
 THRESHOLD = 0.3
@@ -161,30 +161,21 @@ def fit_grammar(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS
         return Grammar({}, {})
 
     def count(c: list[list]) -> list[list]:
-        found = Counter()
-        for text in c[0]:
-            found.update(forms(text))
-        return [list(found.keys()), list(found.values())]
-
-    def count_of(wanted: set[str]):
-        def rows(c: list[list]) -> list[list]:
-            found = Counter()
-            for text in c[0]:
-                found.update(forms(text) & wanted)
-            return [list(found.keys()), list(found.values())]
-
-        return rows
-
-    def counted(toxic: int, rows) -> DataFrame:
-        return map_texts(texts.where(F.col("toxic") == toxic).select("text"), rows, "form string, n long").groupBy("form").agg(F.sum("n").alias("n"))
-
-    bad = {r.form: r.n for r in counted(1, count).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "form").limit(ENTRIES).collect()}
-    good = {r.form: r.n for r in counted(0, count_of(set(bad))).collect()}
-    odds = {w: math.log((n + 0.1) / (sizes[1] + 0.2)) - math.log((good.get(w, 0) + 0.1) / (sizes[0] + 0.2)) for w, n in bad.items()}
-    sure = {w: o for w, o in odds.items() if o >= LEAST_ODDS}
+        found = (Counter(), Counter())
+        for toxic, text in zip(*c, strict=True):
+            found[toxic].update(forms(text))
+        every = list(found[0] | found[1])
+        return [every, *([n[w] for w in every] for n in found)]
+
+    counted = map_texts(texts, count, "form string, good long, bad long").groupBy("form").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    odds = F.log((F.col("bad") + 0.1) / (sizes[1] + 0.2)) - F.log((F.col("good") + 0.1) / (sizes[0] + 0.2))
+    # only entries that speak for toxicity reach the driver
+    entries = counted.where(F.col("bad") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS).collect()
+    sure = {r.form: r.odds for r in entries}
+    rare = {r.form for r in entries if 20 * r.good <= r.bad}
     stems: dict[str, float] = {}
     for w in sorted((w[:-1] for w in sure if w.endswith("-")), key=lambda w: (len(w), w)):
-        if 20 * good.get(w + "-", 0) <= bad[w + "-"] and not any(w[:k] in stems for k in range(STEM, len(w))):
+        if w + "-" in rare and not any(w[:k] in stems for k in range(STEM, len(w))):
             stems[w] = sure[w + "-"]
     words = {w: o for w, o in sure.items() if not w.endswith("-")}
     grammar = Grammar(words, stems)
