@@ -94,6 +94,80 @@ def test_quality_without_labels(spark, docs, empty):
     assert quality.fit_field(empty, common.table(spark, DATA, "labels")) == quality.PRIOR
 
 
+def test_quality_fit_reads_lines_behind_the_first_run(spark):
+    same = "\n".join(f"A plain line number {i} of a text that says little." for i in range(2 * quality.RUN_LINES))
+    good, bad = ("\n".join([same, *lines]) for lines in (["It goes on as it began, line after line."] * 120, ["BUY NOW!!! $$$ <<<|>>>"] * 120))
+    docs = spark.createDataFrame([(i, bad if i % 2 else good) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(20)], "doc_id long, quality int")
+    field = quality.fit_field(docs, labels)
+    lines = [line.encode() for line in bad.split("\n")]
+    marked = field.decode(np.array([quality.line_features(x, x.split(), False) for x in lines]))
+    assert not any(marked[: len(lines) - 120]) and all(marked[-120:])
+    # a smaller bound takes runs from all over the texts, the same ones at every run
+    assert quality.fit_field(docs, labels, most_runs=40) == quality.fit_field(docs.repartition(7), labels, most_runs=40) != quality.PRIOR
+
+
+def test_kept_documents_odd_rows(spark, docs):
+    folder = "/root/testdata/sf0.001"
+    few = common.table(spark, folder, "documents")
+    field = quality.fit_field(few, common.table(spark, folder, "labels"))
+    fine = next(r.text for r in few.orderBy("doc_id").collect() if r.text and quality.judge(r.text, field)[6])
+    long = "\n".join(r.text for r in docs.orderBy("doc_id").collect() if r.text)
+    rows = [(1, None, "x"), (2, "", "x"), (3, " \n\t", None), (None, fine, "x"), (5, fine, None), (5, fine, None), (6, long, "y"), (7, "too short", "y")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    got = quality.kept_documents(spark, odd, folder)
+    assert got.schema == odd.schema
+    due = Counter(r for r in rows if r[1] == fine or r[1] == long and quality.judge(long, field)[6])
+    assert Counter(map(tuple, got.collect())) == due and sum(due.values()) >= 3
+    assert quality.kept_documents(spark, odd.limit(0), folder).count() == 0
+
+
+def test_pieces_of_a_model_without_bytes():
+    base = [("<unk>", 0.0, "unknown"), ("▁", -1.0, "normal"), ("a", -2.0, "normal"), ("b", -2.5, "normal"), ("▁a", -2.2, "normal")]
+    codec = pieces.PieceCodec(base)
+    assert list(codec.encode("aéé b")[1]) == [4, 0, 1, 3]
+    assert list(codec.encode("é é")[1]) == [1, 0, 1, 0]
+    assert codec.decode([4, 0, 1, 3]) == "a ⁇  b"
+    # where the space mark is no piece it is unknown as well
+    bare = pieces.PieceCodec([p for p in base if "▁" not in p[0]])
+    assert not bare.by_part and list(bare.encode("aé é b")[1]) == [0, 1, 0, 2]
+    # some of the byte pieces cannot spell every character
+    some = pieces.PieceCodec([*base, ("<0x41>", 0.0, "byte")])
+    assert list(some.encode("é")[1]) == [1, 0]
+    with pytest.raises(ValueError, match="unknown piece"):
+        pieces.PieceCodec(base[1:]).encode("é")
+
+
+def test_memories_leave_long_parts_out():
+    import public_tokenizers
+    import sentencepiece
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    codec, counter = pieces.PieceCodec.of_model(model), token_cache.PieceCounter(model)
+    texts = ["short " + "x" * 500 + " " + "longer" * 40, "x" * 500, "", "short short"]
+    for _ in range(2):
+        assert counter.count(texts) == [len(library.encode(t)) for t in texts]
+        assert all(codec.decode(codec.encode(t)[1]) == t for t in texts)
+    assert codec.encode("x" * 500) == codec.search("▁" + "x" * 500)
+    assert max(map(len, counter._known)) <= token_cache.LONGEST_KNOWN and max(map(len, codec._known)) <= pieces.LONGEST_KNOWN
+
+
+def test_op2_against_the_codec(spark, odd, empty):
+    import hashlib
+
+    import public_tokenizers
+
+    codec = pieces.PieceCodec.of_model(public_tokenizers.path("piece_bpe_32k.model"))
+    codec.by_part = False  # the whole text in one search
+    due = Counter()
+    for i, text, *_ in ODD:
+        score, ids = codec.encode(text or "")
+        due[i, len(ids), round(score, 6), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), True] += 1
+    got = Counter((r.doc_id, r.n_pieces, round(r.score, 6), r.ids_sha256, r.round_trip) for r in pieces.op2(spark, odd).collect())
+    assert got == due and pieces.op2(spark, empty).count() == 0
+
+
 def test_pieces_round_trip_and_best(odd, empty):
     import public_tokenizers
 
