@@ -17,6 +17,10 @@ MEDIAN_BUCKETS = 1024
 #: Error of the quantile sketch (one in so many rows), and how far the brackets tried in turn reach from the middle, as shares of all rows.
 SKETCH = 2_000
 BRACKETS = (0.002, 0.05)
+#: Values that the frequency sketch of a column tracks, and its error as a multiple of the rows per tracked value.
+TRACKED, SKETCH_ERROR = 1000, 3.5
+#: Types that the frequency sketch takes.
+SKETCHED = (T.BooleanType, T.IntegralType, T.FractionalType, T.StringType, T.DateType, T.TimestampType)
 
 
 # ---------------------------------------------------------------- rows
@@ -104,29 +108,72 @@ def column_means(df: DataFrame, columns: list[str]) -> dict[str, float | None]:
 
 
 def column_modes(df: DataFrame, columns: list[str]) -> dict[str, object]:
-    """The most frequent value of each column, the smallest of equals; one pass for all columns.
+    """The most frequent value of each column, the smallest of equals; None for a column without values.
 
-    Counting per value spreads over all tasks; the built-in ``mode`` keeps every value in one.
+    One scan keeps a frequency sketch per column and names the values that can be the most frequent; a second
+    one counts only these, so no other value is shuffled. The sketch misses no value that stands in more than twice
+    its error of the rows. Where the exact counts do not pass that, and for types it does not take, every value is counted.
     """
     if not columns:
         return {}
-    values = []
-    for name in columns:
-        value = col(name)
-        if isinstance(dtype_of(df, name), (T.FloatType, T.DoubleType)):
-            value = F.when(~F.isnan(value), value)
-        values.append(value)
-
-    def cell(i: int) -> Column:
-        """The value of column ``i`` in its own field, so that columns of any types share a table."""
-        fields = [(values[j] if i == j else F.lit(None).cast(dtype_of(df, c))).alias(f"v{j}") for j, c in enumerate(columns)]
-        return F.when(values[i].isNotNull(), F.struct(F.lit(i).alias("i"), F.struct(*fields).alias("v")))
-
-    cells = df.select(F.explode(F.array_compact(F.array(*map(cell, range(len(columns)))))).alias("cell")).select("cell.*")
+    values = {c: _comparable(col(c), dtype_of(df, c)) for c in columns}
+    rows, named = _frequent(df, {c: v for c, v in values.items() if isinstance(dtype_of(df, c), SKETCHED)})
+    likely = {c: F.when(values[c].isin(found), values[c]) for c, found in named.items()}
+    proven = {c: (v, n) for c, (v, n) in _counted_modes(df, likely).items() if n * TRACKED > 2 * SKETCH_ERROR * rows}
+    rest = {c: v for c, v in values.items() if c not in proven}
+    found = proven | _counted_modes(df, rest)
+    return {c: found.get(c, (None, 0))[0] for c in columns}
+
+
+def _comparable(value: Column, dtype: T.DataType) -> Column:
+    """NaN is missing, and both zeros are one value."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return F.when(~F.isnan(value), value + F.lit(0.0).cast(dtype))
+    return value
+
+
+def _frequent(df: DataFrame, values: dict[str, Column]) -> tuple[int, dict[str, list]]:
+    """The rows of ``df``, and by column the values that can be its most frequent one.
+
+    Left out are columns in which no value stands often enough for the sketch to prove anything. What is named is few:
+    each value holds a share of the rows that only some hundred others can hold as well.
+    """
+    if not values:
+        return 0, {}
+    tops = [F.call_function("approx_top_k", v, F.lit(TRACKED), F.lit(TRACKED)).alias(f"top{i}") for i, v in enumerate(values.values())]
+    sketched = df.agg(F.count(F.lit(1)).alias("rows"), *tops).first()
+    error = SKETCH_ERROR * sketched.rows / TRACKED
+    named = {}
+    for i, c in enumerate(values):
+        top = [(x["item"], x["count"]) for x in sketched[f"top{i}"] or () if x["item"] is not None]
+        most = max((n for _, n in top), default=0)
+        likely = [v for v, n in top if n >= most - error]
+        # a full list may have lost values that were seen less often than all in it
+        if most > 2 * error and (len(likely) < len(top) or len(top) < TRACKED - 1):
+            named[c] = likely
+    return sketched.rows, named
+
+
+def _counted_modes(df: DataFrame, values: dict[str, Column]) -> dict[str, tuple[object, int]]:
+    """The most frequent value of each expression and its count, in one pass; expressions without values have none.
+
+    Counting per value spreads over all tasks; the built-in ``mode`` keeps every value in one.
+    """
+    if not values:
+        return {}
+    kinds = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values.values())]).schema
+
+    def cell(i: int, value: Column) -> Column:
+        """The value in its own field, so that columns of any types share a table."""
+        fields = [(value if i == j else F.lit(None).cast(kind.dataType)).alias(kind.name) for j, kind in enumerate(kinds)]
+        return F.when(value.isNotNull(), F.struct(F.lit(i).alias("i"), F.struct(*fields).alias("v")))
+
+    every = F.array(*[cell(i, v) for i, v in enumerate(values.values())])
+    cells = df.select(F.explode(F.array_compact(every)).alias("cell")).select("cell.*")
     counts = cells.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
-    tops = counts.groupBy("i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v")).collect()
-    found = {row.i: row.v[f"v{row.i}"] for row in tops}
-    return {name: found.get(i) for i, name in enumerate(columns)}
+    first = F.struct(-F.col("n"), F.col("v"))
+    tops = {r.i: r for r in counts.groupBy("i").agg(F.min_by("v", first).alias("v"), F.max("n").alias("n")).collect()}
+    return {c: (tops[i].v[f"v{i}"], tops[i].n) for i, c in enumerate(values) if i in tops}
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> dict[str, float | None]:

@@ -2,6 +2,10 @@
 
 import random
 import statistics
+from collections import Counter
+from datetime import date, datetime, timedelta
+from decimal import Decimal
+from random import Random
 
 import pandas as pd
 import pytest
@@ -136,6 +140,56 @@ def test_modes_of_columns_of_different_types(spark):
     assert cleanse.column_modes(df, ["i", "s", "d"]) == {"i": 1, "s": "a", "d": None}
 
 
+def _brute_mode(values):
+    counts = Counter(v for v in values if v is not None and v == v)
+    return min(counts, key=lambda v: (-counts[v], v), default=None)
+
+
+@pytest.mark.parametrize("tracked", [8, 64, cleanse.TRACKED])
+def test_modes_by_sketch_and_exact_counts(spark, monkeypatch, tracked):
+    """Hot values, ties, values seen once, missing ones and all types; sketches that are too small fall back."""
+    monkeypatch.setattr(cleanse, "TRACKED", tracked)
+    dice = Random(tracked)
+    day, moment = date(2024, 1, 1), datetime(2024, 1, 1)
+    made = [
+        (
+            7 if dice.random() < 0.4 else dice.randrange(10**6),
+            dice.choice("ab"),
+            str(dice.randrange(10**9)),
+            dice.choice([float("nan"), -0.0, 0.0, 1.5, None]),
+            Decimal(dice.randrange(40)) / 100,
+            day + timedelta(days=min(dice.randrange(50), dice.randrange(50))),
+            moment + timedelta(hours=dice.randrange(3)),
+            dice.random() < 0.5,
+            None,
+            b"x" * dice.randrange(3),
+            dice.randrange(200),
+        )
+        for _ in range(3000)
+    ]
+    kinds = "hot long, tie string, once string, f double, dec decimal(9,2), d date, t timestamp, b boolean, none string, bin binary, flat int"
+    df = spark.createDataFrame(made, kinds).repartition(5)
+    got = cleanse.column_modes(df, df.columns)
+    assert {c: bytes(v) if c == "bin" else v for c, v in got.items()} == {c: _brute_mode([r[i] for r in made]) for i, c in enumerate(df.columns)}
+    assert str(got["f"]) == str(abs(got["f"]))
+
+
+def test_modes_count_every_value_only_where_the_sketch_proves_nothing(spark, monkeypatch):
+    counted = []
+    plain = cleanse._counted_modes
+    monkeypatch.setattr(cleanse, "_counted_modes", lambda df, values: counted.append(sorted(values)) or plain(df, values))
+    df = spark.range(20_000).selectExpr("if(id % 3 = 0, -1, id) as hot", "id as once", "id % 4 as few")
+    assert cleanse.column_modes(df, ["hot", "once", "few"]) == {"hot": -1, "once": 0, "few": 0}
+    assert counted == [["few", "hot"], ["once"]]
+
+
+def test_modes_that_tie_are_all_named(spark, monkeypatch):
+    monkeypatch.setattr(cleanse, "TRACKED", 200)
+    rows = [("b",)] * 300 + [("a",)] * 300 + [(f"x{i}",) for i in range(2000)]
+    Random(5).shuffle(rows)
+    assert cleanse.column_modes(spark.createDataFrame(rows, "v string").repartition(9), ["v"]) == {"v": "a"}
+
+
 def test_filling_of_a_rule():
     from ebbmark.operators.cleanse import Fill
 
