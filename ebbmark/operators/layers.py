@@ -14,7 +14,7 @@ from ebbmark.functions.casts import cast_lenient, to_text, to_timestamp
 from ebbmark.functions.dates import standard_date
 from ebbmark.functions.names import col, dtype_of
 from ebbmark.functions.text import normalize_text
-from ebbmark.operators.cleanse import Fill, drop_copies, drop_nulls, fill_columns, surrogate_key
+from ebbmark.operators.cleanse import Fill, distinct_surrogate_key, drop_nulls, fill_columns, surrogate_key
 from ebbmark.operators.rules import Rule, missing_business_keys, rules_by_table
 
 
@@ -76,21 +76,23 @@ def silver(
     rules: list[Rule],
     order_by: Mapping[str, list[str]] | None = None,
     notes: LayerNotes | None = None,
+    written: bool = False,
 ) -> dict[str, DataFrame]:
     """Cleansed tables: project, drop incomplete rows, drop copies, number the rows.
 
     ``order_by`` declares, per table, the columns that order the surrogate key (a distributed table
-    has no row order of its own); by default the business keys, then all other columns.
+    has no row order of its own); by default the business keys, then all other columns. ``written``
+    says that ``tables`` are scans, so that scanning them again costs no shuffle.
     """
     notes = notes if notes is not None else LayerNotes()
     matched, notes.skipped = rules_by_table(rules, list(tables))
     return {
-        name: _silver_table(tables[name], name, table_rules, (order_by or {}).get(name), notes)
+        name: _silver_table(tables[name], name, table_rules, (order_by or {}).get(name), notes, written)
         for name, table_rules in matched.items()
     }
 
 
-def _silver_table(df: DataFrame, name: str, rules: list[Rule], order_by: list[str] | None, notes: LayerNotes) -> DataFrame:
+def _silver_table(df: DataFrame, name: str, rules: list[Rule], order_by: list[str] | None, notes: LayerNotes, written: bool) -> DataFrame:
     key = f"pk_{name}_silver_id"
     usable = [r for r in rules if r.source_column in df.columns]
     filling = [r for r in usable if r.kind == "null_handling" and not _drops(r)]
@@ -107,10 +109,10 @@ def _silver_table(df: DataFrame, name: str, rules: list[Rule], order_by: list[st
     result = _project(df, out, name, notes)
     if complete:
         result = drop_nulls(result, complete)
-    distinct = any(rule.kind == "dedup" for rule in rules)
-    if distinct:
-        result = drop_copies(result)
-    return surrogate_key(result, key, _key_order(result, order_by), total_order=distinct)
+    order = _key_order(result, order_by)
+    if any(rule.kind == "dedup" for rule in rules):
+        return distinct_surrogate_key(result, key, order, written)
+    return surrogate_key(result, key, order)
 
 
 def _drops(rule: Rule) -> bool:

@@ -58,7 +58,7 @@ def landing_to_gold(
     formats = {name: file_format(sources[name]) if sources else "table" for name in bronzes}
     bronzes = run.keep(bronzes, "bronze", notes, formats)
     notes = LayerNotes()
-    silvers = run.keep(silver(bronzes, silver_rules, order_by, notes), "silver", notes)
+    silvers = run.keep(silver(bronzes, silver_rules, order_by, notes, written=bool(out)), "silver", notes)
 
     roles = resolve_roles(silvers)
     hot = {}

@@ -210,3 +210,31 @@ def test_medians_where_the_bracket_misses(spark, monkeypatch, brackets):
     due = {c: statistics.median([r[i] for r in rows if r[i] is not None]) for i, c in enumerate("abc")}
     assert cleanse.column_medians(df, ["a", "b", "c"]) == due
     assert len(scans) == (2 if brackets == (0.0,) else 1)
+
+
+def test_distinct_surrogate_key(spark):
+    rng = Random(5)
+    some = [(rng.choice([None, "a", "b", "c"]), rng.choice([None, 0.0, -0.0, float("nan"), 1.5]), rng.choice([None, 1, 2])) for _ in range(300)]
+    flat = [(f"k{i % 9000}", float(i % 9000), 1) for i in range(10000)]
+    hot = [("hot", 1.0, 1)] * 3000 + flat[:2000]
+    order = ["c", "a", "b"]
+    for data in (some, flat, hot, []):
+        df = spark.createDataFrame(data, "a string, b double, c int").repartition(5)
+        due = cleanse.surrogate_key(cleanse.drop_copies(df), "k", order, total_order=True)
+        for written in (False, True):
+            assert repr(rows(cleanse.distinct_surrogate_key(df, "k", order, written))) == repr(rows(due))
+
+
+def test_numbering_moves_the_rows_once(spark):
+    df = spark.range(5000).selectExpr("cast(id % 700 as string) a", "cast(id % 3 as double) b")
+    ranged = cleanse._sorted_distinct(df, ["a", "b"])
+    ranged.collect()
+    plan = ranged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange ") == plan.count("Exchange rangepartitioning") == 1
+    # the sizes of the files go to each task, whatever Spark takes them to be
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = cleanse.surrogate_key(df, "k", ["a", "b"])
+        assert "BroadcastHashJoin" in numbered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
