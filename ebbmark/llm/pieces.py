@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ebbmark.llm.common import map_texts, whole_texts
 
 MARK = "▁"
-#: Parts whose encoding a task remembers at a time, and the most characters of such a part: together they bound the memory.
+#: Parts whose encoding a task remembers in each of two generations (besides those of the text at hand), and the most characters of such a part:
+#: together they bound the memory.
 KNOWN_PARTS, LONGEST_KNOWN = 200_000, 48
+#: Spaces and the word behind them.
+WORDS = re.compile(" +[^ ]*")
 #: How far a character outside the pieces lies below the lowest piece score.
 UNKNOWN_GAP = 10.0
 #: What an unknown piece decodes to, as the public library writes it.
@@ -27,7 +30,8 @@ class PieceCodec:
     the best score of that position. A character that no piece covers becomes its UTF-8 byte pieces; in a model
     without all 256 of them, a run of such characters becomes one unknown piece, which does not decode to them. Equal
     scores prefer the longer last piece. Where no piece has a space mark behind another character, the best
-    segmentation of a text is that of its parts (spaces and the word behind them), which are remembered.
+    segmentation of a text is that of its parts (spaces and the word behind them, cut at characters that no piece
+    joins to others), which are remembered.
     """
 
     def __init__(self, pieces: list[tuple[str, float, str]]) -> None:
@@ -81,41 +85,69 @@ class PieceCodec:
         return (self.unknown_id is None or MARK in normal) and not any(MARK in piece.lstrip(MARK) for piece in normal)
 
     @cached_property
-    def _known(self) -> dict[str, tuple[float, array]]:
+    def _parting(self) -> re.Pattern:
+        """What a part is: spaces and a run of characters that pieces join, directly or by way of others, or one that none joins."""
+        if self.unknown_id is not None:  # a run of unknown characters is one piece
+            return WORDS
+        group: dict[str, set[str]] = {}
+        for piece, _, kind in self.pieces:
+            core = set(piece.lstrip(MARK))
+            if kind == "normal" and len(piece.lstrip(MARK)) > 1:
+                for other in [group[c] for c in core if c in group]:
+                    core |= other
+                group.update(dict.fromkeys(core, core))
+        runs = {id(g): "[" + "".join(map(re.escape, sorted(g))) + "]+" for g in group.values()}
+        alone = "[^ " + "".join(map(re.escape, sorted(group))) + "]"
+        return re.compile(f" *(?:{'|'.join([*sorted(runs.values(), key=len, reverse=True), alone])})| +")
+
+    @cached_property
+    def _sizes(self) -> list[int]:
+        return [len(piece) for piece, _, _ in self.pieces]
+
+    @cached_property
+    def _known(self) -> dict[str, tuple[float, bytes]]:
+        return {}
+
+    @cached_property
+    def _known_before(self) -> dict[str, tuple[float, bytes]]:
         return {}
 
     def search(self, marked: str) -> tuple[float, array]:
         """Score and ids of the best segmentation of a text with space marks."""
-        n, unknown = len(marked), self.unknown_score
-        best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        done = 0  # positions whose unknown-character step is relaxed
-
-        def step(end: int) -> None:
-            nonlocal done
-            while done < end:
-                done += 1
-                best[done], back[done] = best[done - 1] + unknown, (1, -1)
-
+        unknown = self.unknown_score
+        best, last = [0.0], [-1]  # the best score up to each position, and the piece that ends there
+        done, top = 0, 0.0
         for at, (length, score, i) in self.automaton.iter(marked):
-            end = at + 1
-            if done < end:
-                step(end)
-            total = best[end - length] + score
-            if total > best[end] or (total == best[end] and length > back[end][0]):
-                best[end], back[end] = total, (length, i)
-        step(n)
-        ids, end, unknown_id = [], n, self.unknown_id
+            while done <= at:  # a position begins with its unknown-character step
+                done += 1
+                top += unknown
+                best.append(top)
+                last.append(-1)
+            total = best[done - length] + score
+            # the longest of the pieces that end here comes first
+            if total >= top and (total > top or last[done] < 0 and length > 1):
+                best[done] = top = total
+                last[done] = i
+        n = len(marked)
+        while done < n:
+            done += 1
+            top += unknown
+            best.append(top)
+            last.append(-1)
+        ids, end, after, sizes, unknown_id = [], n, n, self._sizes, self.unknown_id
         while end:
-            length, i = back[end]
+            i = last[end]
             if i >= 0:
                 ids.append(i)
-            elif unknown_id is not None:
-                if end == n or back[after][1] >= 0:
-                    ids.append(unknown_id)
-            else:
+                after, end = end, end - sizes[i]
+                continue
+            if unknown_id is None:
                 ids.extend(self.bytes_of[b] for b in reversed(marked[end - 1 : end].encode()))
-            after, end = end, end - length
-        return best[n], array("i", reversed(ids))
+            elif end == n or last[after] >= 0:
+                ids.append(unknown_id)
+            after, end = end, end - 1
+        ids.reverse()
+        return best[n], array("i", ids)
 
     def encode(self, text: str) -> tuple[float, array]:
         """Score and ids of ``text``; the empty text has none. One space mark is put before a text."""
@@ -123,18 +155,32 @@ class PieceCodec:
             return 0.0, array("i")
         if not self.by_part:
             return self.search(MARK + text.replace(" ", MARK))
-        total, ids, known = 0.0, array("i"), self._known
-        for part in re.findall(" +[^ ]*", " " + text):
-            found = known.get(part)
+        parts = (WORDS if MARK in text else self._parting).findall(" " + text)
+        if len(self._known) >= KNOWN_PARTS:  # what is not met again goes with the next change
+            self._known, self._known_before = {}, self._known
+        known, before = self._known, self._known_before
+        # the parts of this text stay in ``known`` until it is put together
+        long = []
+        for part in set(parts).difference(known):
+            found = before.get(part)
             if found is None:
-                found = self.search(part.replace(" ", MARK))
-                if len(part) <= LONGEST_KNOWN:
-                    if len(known) >= KNOWN_PARTS:
-                        known.clear()
-                    known[part] = found
-            total += found[0]
-            ids += found[1]
-        return total, ids
+                score, ids = self.search(part.replace(" ", MARK))
+                found = score, ids.tobytes()
+                if len(part) > LONGEST_KNOWN:
+                    long.append(part)
+            known[part] = found
+        scores, ids = zip(*map(known.__getitem__, parts))
+        for part in long:
+            del known[part]
+        return sum(scores), array("i", b"".join(ids))
+
+    @cached_property
+    def _digits(self) -> list[str]:
+        return list(map(str, range(len(self.pieces))))
+
+    def joined(self, ids) -> str:
+        """The ids in digits, comma-joined."""
+        return ",".join(map(self._digits.__getitem__, ids))
 
     @cached_property
     def _as_bytes(self) -> list[bytes]:
@@ -176,7 +222,7 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
             score, ids = codec.encode(text)
             out[1].append(len(ids))
             out[2].append(score)
-            out[3].append(hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+            out[3].append(hashlib.sha256(codec.joined(ids).encode()).hexdigest())
             out[4].append(codec.decode(ids) == text)
         return out
 

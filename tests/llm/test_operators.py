@@ -50,6 +50,22 @@ def texts(docs):
     return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
 
 
+def test_fit_keeps_features_as_bytes(spark, monkeypatch):
+    import tracemalloc
+
+    text = "\n".join(f"line {i} with some words" for i in range(4000))
+    docs = spark.createDataFrame([(i, text) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "likeliest", lambda *_: quality.PRIOR)
+    tracemalloc.start()
+    try:
+        quality.fit_field(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 4 * 40 * 4000 * len(quality.FEATURES) * 8
+
+
 def test_quality_base(docs, texts, odd, empty):
     for frame, expected in ((docs, [(i, t) for i, t in texts.items()]), (odd, [r[:2] for r in ODD]), (empty, [])):
         got = quality.quality(frame, quality.PRIOR)
@@ -153,6 +169,28 @@ def test_memories_leave_long_parts_out():
     assert max(map(len, counter._known)) <= token_cache.LONGEST_KNOWN and max(map(len, codec._known)) <= pieces.LONGEST_KNOWN
 
 
+def test_parts_are_searched_once(monkeypatch):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    codec, searched = pieces.PieceCodec.of_model(model), []
+    search = codec.search
+    monkeypatch.setattr(codec, "search", lambda marked: searched.append(marked) or search(marked), raising=False)
+    # a word is one part, whatever stands behind it
+    text = "word word, word. (word) word%%% word\nword"
+    assert codec.encode(text) == search("▁" + text.replace(" ", "▁"))
+    assert len(searched) == len(set(searched)) and sum("word" in s for s in searched) == 2
+    # parts that are met again outlast many that are not
+    monkeypatch.setattr(pieces, "KNOWN_PARTS", 50)
+    del searched[:]
+    for i in range(40):
+        codec.encode("often " + " ".join("zq" + chr(97 + i % 26) * (k + 1 + i // 26) for k in range(20)))
+    assert searched.count("▁often") == 1 and len(codec._known) + len(codec._known_before) < 200
+    # marks in the text itself, marks alone, and runs of any characters
+    for odd in ("a▁b ▁, ▁▁x", " ", "   ", "▁", "a  (b)  ", "é中🙂\n\t%a1,2 数据 据a", "###  a### $\\{x}_{"):
+        assert codec.encode(odd) == search("▁" + odd.replace(" ", "▁"))
+
+
 def test_op2_against_the_codec(spark, odd, empty):
     import hashlib
 
