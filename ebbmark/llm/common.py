@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ebbmark.session import scratch_path
@@ -94,11 +94,17 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     scratch = Scratch(edges.sparkSession)
-    pairs = scratch.stage(pairs, "edges")
+
+    def written(table: DataFrame, label: str) -> tuple[DataFrame, dict]:
+        """The staged pairs, and the count and sum of their hashes, which the job that writes them takes along."""
+        seen = Observation(f"{label}-pairs")
+        found = F.count(F.lit(1)).alias("pairs"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("hashes")
+        return scratch.stage(table.observe(seen, *found), label), seen.get
+
+    pairs, now = written(pairs, "edges")
     before = None
     while True:
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now[0] == 0 or now == before:
+        if not now["pairs"] or now == before:
             break
         before = now
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -107,6 +113,6 @@ def components(edges: DataFrame) -> DataFrame:
         large = scratch.stage(large.distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = scratch.stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        pairs, now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
     members = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return members.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -145,13 +145,14 @@ def fit_field(docs: DataFrame, labels: DataFrame, *, most_docs: int = FIT_DOCS,
         for kind, of, text in zip(*c, strict=True):
             lines = lines_of(text.encode())[0]
             for place, at in enumerate(range(0, len(lines), RUN_LINES)):
-                for column, value in zip(out, (kind, of, place, [x for f in lines[at : at + RUN_LINES] for x in f]), strict=True):
+                for column, value in zip(out, (kind, of, place, np.array(lines[at : at + RUN_LINES]).tobytes()), strict=True):
                     column.append(value)
         return out
 
-    runs = map_texts(texts, rows, "quality int, of long, place int, features array<double>")
+    runs = map_texts(texts, rows, "quality int, of long, place int, features binary")
     runs = runs.orderBy(F.xxhash64("of", "place"), "of", "place").limit(most_runs)
-    found = [(r.quality, np.array(r.features).reshape(-1, len(FEATURES))) for r in runs.select("quality", "features").toLocalIterator()]
+    # bytes, as numbers of their own would take four times the room on the driver
+    found = [(r.quality, np.frombuffer(r.features).reshape(-1, len(FEATURES))) for r in runs.select("quality", "features").toLocalIterator()]
     found.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     if {q for q, _ in found} != {0, 1}:
         return PRIOR
@@ -170,7 +171,8 @@ def likeliest(features: list[np.ndarray], targets: list[np.ndarray], steps: int
         x[: len(f), i], y[: len(t), i] = f, t
     sizes = np.array(list(map(len, features)))
     here = np.arange(longest)[:, None] < sizes
-    seen_emit = (x * (y * here)[:, :, None]).sum((0, 1))
+    # einsum makes no second array of the size of ``x``
+    seen_emit = np.einsum("tnw,tn->w", x, (y * here).astype(float))
     both = here[1:]
     seen_move = np.array([[((y[:-1] == a) & (y[1:] == b) & both).sum() for b in (0, 1)] for a in (0, 1)])
     theta, m, v, total = np.zeros(width + 4), 0.0, 0.0, here.sum()
@@ -189,7 +191,7 @@ def likeliest(features: list[np.ndarray], targets: list[np.ndarray], steps: int
         whole = np.logaddexp(a[-1, :, 0], a[-1, :, 1])
         junk = np.exp(a[:, :, 1] + b[:, :, 1] - whole) * here
         pair = np.exp(a[:-1, :, :, None] + move + (score[1:] + b[1:])[:, :, None, :] - whole[:, None, None]) * both[:, :, None, None]
-        gradient = np.concatenate([seen_emit - (x * junk[:, :, None]).sum((0, 1)), (seen_move - pair.sum((0, 1))).ravel()]) / total - 1e-4 * theta
+        gradient = np.concatenate([seen_emit - np.einsum("tnw,tn->w", x, junk), (seen_move - pair.sum((0, 1))).ravel()]) / total - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         theta = theta + 0.25 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return LineField(tuple(theta[:width].tolist()), tuple(theta[width:].tolist()))
